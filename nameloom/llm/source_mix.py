@@ -42,7 +42,7 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, share: float = 1.5, epochs
     level = (total - F.coalesce(F.sum("_cap").over(upto), F.lit(0.0))) / (F.sum("_w").over(every) - F.coalesce(F.sum("_w").over(upto), F.lit(0.0)))
     rows = rows.withColumn("_level", level)
     open_ = F.col("_cap") > F.col("_w") * F.col("_level")
-    rows = rows.withColumn("_open", open_).withColumn("_last", F.min(F.when(F.col("_open"), F.col("_level"))).over(every))
+    rows = rows.withColumn("_open", open_).withColumn("_last", F.max(F.when(F.col("_open"), F.col("_level"))).over(every))
     return rows.select("source", "source_size", F.when(F.col("_open"), F.col("_w") * F.col("_last")).otherwise(F.col("_cap")).alias("target"))
 
 
