@@ -99,3 +99,38 @@ def prefix_sums(df: DataFrame, keys: list[str], bucket: str, order: list[Column]
     inside = Window.partitionBy(*cell).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     local = df.withColumn("_inside", F.coalesce(F.sum(value).over(inside), F.lit(0).cast("long")))
     return local.join(totals, cell).withColumn(out, (F.col("_cell_base") + F.col("_inside")).cast("long")).drop("_cell_base", "_inside")
+
+
+#: Up to so many ids are sent to every executor instead of shuffling the table they select from.
+BROADCAST_IDS = 500_000
+
+
+def by_ids(df: DataFrame, ids: DataFrame, on: str, how: str) -> DataFrame:
+    """``df`` semi- or anti-joined to the distinct values of ``ids``, whose size decides how.
+
+    ``ids`` should be a table that is cheap to read.  Up to ``BROADCAST_IDS`` rows
+    it is broadcast, so ``df`` stays in place; beyond that both are shuffled.
+    """
+    small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return df.join(F.broadcast(ids) if small else ids, on, how)
+
+
+def connected_components(links: DataFrame, name: str = "components") -> DataFrame:
+    """(v, label) for every end of ``links`` (a, b): label is the smallest end in its component.
+
+    Each round takes the smallest label among neighbours and then the label's own
+    label, so chains shorten geometrically.  Labels are written to the shared
+    folder after each round; only the count of changes comes to the driver.
+    """
+    both = materialise(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}-links")
+    labels = materialise(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("label")), f"{name}-0")
+    for turn in range(1, 200):
+        near = both.join(labels, both["b"] == labels["v"]).groupBy("a").agg(F.min("label").alias("m"))
+        nearer = labels.join(near, labels["v"] == near["a"], "left").select("v", F.col("label").alias("old"), F.least("label", F.coalesce("m", "label")).alias("label"))
+        jump = labels.select(F.col("v").alias("_v"), F.col("label").alias("_l"))
+        nearer = nearer.join(jump, nearer["label"] == jump["_v"], "left").select("v", "old", F.least("label", F.coalesce("_l", "label")).alias("label"))
+        step = materialise(nearer, f"{name}-{turn}")
+        labels = step.select("v", "label")
+        if step.where("label <> old").isEmpty():
+            break
+    return labels

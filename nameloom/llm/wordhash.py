@@ -15,7 +15,7 @@ import numpy as np
 
 _BASE = np.uint64(0x9E3779B97F4A7C13)
 _BASE_INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_CHUNK = 1 << 21
+_CHUNK = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -80,30 +80,36 @@ def hash_words(texts, fold_ascii: bool = False) -> Words:
     data = np.frombuffer(blob, dtype=np.uint8)
     edge = np.diff(_space()[data].view(np.int8), prepend=np.int8(1))
     starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    sums = np.zeros(len(data) + 1, dtype=np.uint64)
     values = _byte_values(fold_ascii)
-    power, inverse = _power_tables(min(len(data), _CHUNK) + 1)
     out = np.empty(len(starts), dtype=np.uint64)
-    if len(data) <= _CHUNK:
-        np.cumsum(values[data] * power[: len(data)], out=sums[1:])
-        out = (sums[ends] - sums[starts]) * inverse[starts]
-    else:  # in pieces that begin at a word, so that powers stay short
-        lo = 0
-        while lo < len(starts):
-            hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + _CHUNK, side="right")))
-            at, to = int(starts[lo]), int(ends[hi - 1])
-            power, inverse = _power_tables(to - at + 1)
-            part = np.zeros(to - at + 1, dtype=np.uint64)
-            np.cumsum(values[data[at:to]] * power[: to - at], out=part[1:])
-            s, e = starts[lo:hi] - at, ends[lo:hi] - at
-            out[lo:hi] = (part[e] - part[s]) * inverse[s]
-            lo = hi
+    lo = 0
+    while lo < len(starts):  # in pieces that begin at a word, so that the tables of powers stay short
+        hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + _CHUNK, side="right")))
+        at, to = int(starts[lo]), int(ends[hi - 1])
+        power, inverse = _power_tables(to - at + 1)
+        sums = np.zeros(to - at + 1, dtype=np.uint64)
+        np.cumsum(values[data[at:to]] * power[: to - at], out=sums[1:])
+        s, e = starts[lo:hi] - at, ends[lo:hi] - at
+        out[lo:hi] = (sums[e] - sums[s]) * inverse[s]
+        lo = hi
     lengths = np.fromiter((len(r) + 1 for r in raw), dtype=np.int64, count=len(raw))
     borders = np.concatenate([[0], np.cumsum(lengths)])
     bounds = np.searchsorted(starts, borders)
     return Words(mix(out + (ends - starts).astype(np.uint64)), bounds, blob, starts, ends)
 
 
+def pieces(texts: list, limit: int = 4 << 20):
+    """Ranges (lo, hi) of ``texts`` of about ``limit`` characters each, one text at least."""
+    lo = size = 0
+    for i, t in enumerate(texts):
+        size += len(t) if t else 0
+        if size >= limit:
+            yield lo, i + 1
+            lo, size = i + 1, 0
+    if lo < len(texts):
+        yield lo, len(texts)
+
+
 @lru_cache(maxsize=16)
 def _window_factors(n: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
