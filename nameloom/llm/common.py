@@ -79,7 +79,7 @@ def hash_key(*parts: Column | str, seed: str) -> Column:
 KEY_BITS = 60
 
 
-def bucket_bits(rows: int, per_bucket: int = 20_000) -> int:
+def bucket_bits(rows: int, per_bucket: int = 2_000) -> int:
     """Bits that split ``rows`` hash-random keys into buckets of about ``per_bucket``."""
     return max(0, min(30, math.ceil(math.log2(max(1, rows) / per_bucket)))) if rows > per_bucket else 0
 
