@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nameloom.llm import ngram_join, phrase_automata, quality_lines, source_mix
+from nameloom.llm import ngram_join, phrase_automata, quality_lines, source_mix, token_records
 from nameloom.llm.common import table
 
 
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -18,6 +24,11 @@ def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.components(docs, n=4, percent=85).select("doc_id", "n_shingles", "component_id")
 
 
+def op7_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_records.token_records(docs, tokenizer_file("word_bpe_49k.json"), end_id=1).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op8_quality_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return quality_lines.judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -28,4 +39,4 @@ def op9_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrase_automata.remove_repeats(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op3_source_mix, op5_ngram_jaccard, op8_quality_lines, op9_phrase_automata)}
+QUERIES = {f.__name__: f for f in (op3_source_mix, op5_ngram_jaccard, op7_token_records, op8_quality_lines, op9_phrase_automata)}
