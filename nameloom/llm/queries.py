@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nameloom.llm import ngram_join, phrase_automata, quality_lines, source_mix, token_records
+from nameloom.llm import ngram_join, phrase_automata, quality_lines, source_mix, token_records, warc_index
 from nameloom.llm.common import table
 
 
@@ -24,6 +24,11 @@ def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.components(docs, n=4, percent=85).select("doc_id", "n_shingles", "component_id")
 
 
+def op6_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return warc_index.capture_history(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_records.token_records(docs, tokenizer_file("word_bpe_49k.json"), end_id=1).select("doc_id", "start", "n_tokens", "ids_crc32")
@@ -39,4 +44,4 @@ def op9_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrase_automata.remove_repeats(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op3_source_mix, op5_ngram_jaccard, op7_token_records, op8_quality_lines, op9_phrase_automata)}
+QUERIES = {f.__name__: f for f in (op3_source_mix, op5_ngram_jaccard, op6_warc_index, op7_token_records, op8_quality_lines, op9_phrase_automata)}
