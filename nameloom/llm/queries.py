@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nameloom.llm import ngram_join, phrase_automata, quality_lines, source_mix, token_records, warc_index
+from nameloom.llm import ngram_join, phrase_automata, pii_supervision, quality_lines, source_mix, token_records, warc_index
 from nameloom.llm.common import table
 
 
@@ -44,4 +44,9 @@ def op9_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrase_automata.remove_repeats(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op3_source_mix, op5_ngram_jaccard, op6_warc_index, op7_token_records, op8_quality_lines, op9_phrase_automata)}
+def op10_pii_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii_supervision.find_pii(docs).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+
+
+QUERIES = {f.__name__: f for f in (op3_source_mix, op5_ngram_jaccard, op6_warc_index, op7_token_records, op8_quality_lines, op9_phrase_automata, op10_pii_supervision)}
