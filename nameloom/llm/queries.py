@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nameloom.llm import ngram_join, phrase_automata, pii_supervision, quality_lines, source_mix, token_records, warc_index
+from nameloom.llm import balanced_shards, ngram_join, phrase_automata, pii_supervision, quality_lines, source_mix, template_decontamination, token_records, warc_index
 from nameloom.llm.common import table
 
 
@@ -15,10 +15,19 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text")
+    return template_decontamination.contaminated(docs, items).drop("row")
+
+
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balanced_shards.shard_rows(table(spark, sf_dir, "documents").select("doc_id", "text"), shards=40).drop("id")
+
+
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return ngram_join.components(docs, n=4, percent=85).select("doc_id", "n_shingles", "component_id")
@@ -49,4 +58,4 @@ def op10_pii_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_supervision.find_pii(docs).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
 
 
-QUERIES = {f.__name__: f for f in (op3_source_mix, op5_ngram_jaccard, op6_warc_index, op7_token_records, op8_quality_lines, op9_phrase_automata, op10_pii_supervision)}
+QUERIES = {f.__name__: f for f in (op2_template_decontamination, op3_source_mix, op4_balanced_shards, op5_ngram_jaccard, op6_warc_index, op7_token_records, op8_quality_lines, op9_phrase_automata, op10_pii_supervision)}
