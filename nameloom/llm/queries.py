@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nameloom.llm import balanced_shards, ngram_join, phrase_automata, pii_supervision, quality_lines, source_mix, template_decontamination, token_records, warc_index
+from nameloom.llm import balanced_shards, chat_prefix_tree, ngram_join, phrase_automata, pii_supervision, quality_lines, source_mix, template_decontamination, token_records, warc_index
 from nameloom.llm.common import table
 
 
@@ -15,6 +15,14 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_chat_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    probe = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    path = tokenizer_file("byte_bpe_50k.json")
+    return chat_prefix_tree.digests(chat_prefix_tree.read_back(*chat_prefix_tree.prefix_tree(turns.unionByName(probe), path), path))
+
+
 def op2_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text")
     return template_decontamination.contaminated(docs, items).drop("row")
@@ -58,4 +66,4 @@ def op10_pii_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_supervision.find_pii(docs).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
 
 
-QUERIES = {f.__name__: f for f in (op2_template_decontamination, op3_source_mix, op4_balanced_shards, op5_ngram_jaccard, op6_warc_index, op7_token_records, op8_quality_lines, op9_phrase_automata, op10_pii_supervision)}
+QUERIES = {f.__name__: f for f in (op1_chat_prefix_tree, op2_template_decontamination, op3_source_mix, op4_balanced_shards, op5_ngram_jaccard, op6_warc_index, op7_token_records, op8_quality_lines, op9_phrase_automata, op10_pii_supervision)}
