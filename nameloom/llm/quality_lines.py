@@ -99,7 +99,9 @@ def judge(docs: DataFrame, max_share: float = 0.05, min_docs: int = 10, min_word
 def keep_good(docs: DataFrame, **limits) -> DataFrame:
     """The documents kept, with the columns of ``docs``; common lines are gone from their texts."""
     names = docs.columns
-    df = judge(docs, **limits).where("kept")
+    # A filter on a projection that is not deterministic stays above it; pushed down, it would
+    # hold copies of every expression that ``kept`` is made of.
+    df = judge(docs, **limits).withColumn("_row", F.monotonically_increasing_id()).where(F.col("kept") & (F.col("_row") >= 0))
     df = df.withColumn("text", F.col("clean_text"))
     if "n_chars" in names:
         df = df.withColumn("n_chars", F.length("text").cast("long"))
