@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: What counts as white space, the abbreviation pattern, and punctuation dropped at the edges.
-SPACE = r"[\s\x1c-\x1f\x85  ]"
+SPACE = r"[\s\x1c-\x1f]"
 ABBREVIATION = rf"(?U)\b([A-Za-z]){SPACE}*\.{SPACE}*([A-Za-z][A-Za-z-]*)\b"
 EDGE = r"[\s\x1c-\x1f,;:，；：、]"
 ABBREVIATED = r"^[a-z]\. [a-z][a-z-]*$"
