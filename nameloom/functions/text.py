@@ -13,6 +13,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: What counts as white space, the abbreviation pattern, and punctuation dropped at the edges.
 SPACE = r"[\s\x1c-\x1f]"
@@ -51,13 +52,13 @@ def normal_form(text: str | None) -> str:
     return display_form(text).casefold()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def normalize_unicode(texts: pd.Series) -> pd.Series:
     """Canonical form of any text."""
     return texts.map(normal_form)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def display_normalized(texts: pd.Series) -> pd.Series:
     return texts.map(display_form)
 
