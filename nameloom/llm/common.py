@@ -70,6 +70,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def packed(docs: DataFrame, *names: str) -> DataFrame:
+    """The columns ``names`` and the whole row as ``_doc``, so that no other column can clash with a working name."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), *names)
+
+
+def unpacked(df: DataFrame, names: list[str], **new: Column) -> DataFrame:
+    """The row in ``_doc`` again, with new values for those of its columns that are given."""
+    return df.select(*[new.get(c, F.col("_doc").getField(c)).alias(c) for c in names])
+
+
 def hash_key(*parts: Column | str, seed: str) -> Column:
     """60 hash bits of ``parts`` as a non-negative long, the same in any engine that has md5."""
     text = F.concat_ws(":", F.lit(seed), *[F.coalesce((p if isinstance(p, Column) else F.col(p)).cast("string"), F.lit("\\N")) for p in parts])

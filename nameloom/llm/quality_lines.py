@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nameloom.llm.common import WORD, materialise, n_words, words
+from nameloom.llm.common import WORD, materialise, n_words, packed, unpacked, words
 
 #: Fixed values of the base rules.
 MIN_WORDS, WINDOW, MAX_REPEAT_PERCENT, SYMBOLS = 10, 5, 20, r"[^#*$%&|<>]+"
@@ -98,11 +98,7 @@ def judge(docs: DataFrame, max_share: float = 0.05, min_docs: int = 10, min_word
 
 def keep_good(docs: DataFrame, **limits) -> DataFrame:
     """The documents kept, with the columns of ``docs``; common lines are gone from their texts."""
-    names = docs.columns
     # A filter on a projection that is not deterministic stays above it; pushed down, it would
     # hold copies of every expression that ``kept`` is made of.
-    df = judge(docs, **limits).withColumn("_row", F.monotonically_increasing_id()).where(F.col("kept") & (F.col("_row") >= 0))
-    df = df.withColumn("text", F.col("clean_text"))
-    if "n_chars" in names:
-        df = df.withColumn("n_chars", F.length("text").cast("long"))
-    return df.select(*names)
+    df = judge(packed(docs, "text", "source"), **limits).withColumn("_n", F.monotonically_increasing_id()).where(F.col("kept") & (F.col("_n") >= 0))
+    return unpacked(df, docs.columns, text=F.col("clean_text"), n_chars=F.length("clean_text").cast("long"))

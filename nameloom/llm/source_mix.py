@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from nameloom.llm.common import KEY_BITS, bucket_bits, hash_key, materialise, n_words, prefix_sums, words
+from nameloom.llm.common import KEY_BITS, bucket_bits, hash_key, materialise, n_words, packed, prefix_sums, unpacked, words
 
 SEED = "mix-1"
 WEIGHTS = (5, 2, 1)
@@ -70,13 +70,11 @@ def apply_mix(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     more with its first k words joined by single spaces.  ``doc_id`` must be
     unique among the rows with words (null doc_ids match null doc_ids).
     """
-    names = docs.columns
     plan = mixed.where("taken > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.max("size").alias("_size"), F.max("taken").alias("_taken"))
-    rows = docs.join(plan, docs["doc_id"].eqNullSafe(plan["_id"])).withColumn("_copies", F.expr("_taken div _size")).withColumn("_rest", F.expr("_taken % _size").cast("int"))
-    parts = F.concat(F.array_repeat(F.lit(0), F.col("_copies").cast("int")), F.when(F.col("_rest") > 0, F.array(F.col("_rest"))).otherwise(F.array().cast("array<int>")))
+    rows = packed(docs, "doc_id", "text").join(plan, F.col("doc_id").eqNullSafe(F.col("_id"))).withColumns({"_copies": F.expr("cast(_taken div _size as int)"), "_rest": F.expr("cast(_taken % _size as int)")})
+    parts = F.concat(F.array_repeat(F.lit(0), F.col("_copies")), F.when(F.col("_rest") > 0, F.array(F.col("_rest"))).otherwise(F.array().cast("array<int>")))
     rows = rows.withColumn("_part", F.explode(parts))
-    text = F.when(F.col("_part") > 0, F.array_join(F.slice(words(F.col("text")), 1, F.greatest(F.col("_part"), F.lit(1))), " ")).otherwise(F.col("text"))
-    rows = rows.withColumn("text", text)
-    if "n_chars" in names:
-        rows = rows.withColumn("n_chars", F.when(F.col("_part") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return rows.select(*names)
+    cut = F.array_join(F.slice(words(F.col("text")), 1, F.greatest(F.col("_part"), F.lit(1))), " ")
+    rows = rows.withColumn("text", F.when(F.col("_part") > 0, cut).otherwise(F.col("text")))
+    n_chars = {"n_chars": F.when(F.col("_part") > 0, F.length("text").cast("long")).otherwise(F.col("_doc").getField("n_chars"))} if "n_chars" in docs.columns else {}
+    return unpacked(rows, docs.columns, text=F.col("text"), **n_chars)

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nameloom.llm.common import by_ids, materialise, words
+from nameloom.llm.common import by_ids, materialise, packed, unpacked, words
 
 WINDOW, LITERALS, COVERAGE, CONSISTENCY = 5, 3, 0.5, 0.8
 BROADCAST_WINDOWS = 200_000
@@ -107,7 +107,6 @@ def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, litera
 
 def without_contaminated(docs: DataFrame, items: DataFrame, **limits) -> DataFrame:
     """The rows of ``docs`` in which no item is found."""
-    names = docs.columns
-    found = materialise(contaminated(docs, items, **limits).select(F.col("row").alias("_row")).distinct(), "template-rows")
-    keyed = docs.withColumn("_row", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
-    return by_ids(keyed, found, "_row", "left_anti").select(*names)
+    found = materialise(contaminated(docs, items, **limits).select("row").distinct(), "template-rows")
+    keyed = packed(docs, "doc_id", "text").withColumn("row", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
+    return unpacked(by_ids(keyed, found, "row", "left_anti"), docs.columns)
