@@ -214,7 +214,7 @@ def test_quality_lines(spark, docs, corpus, nothing):
         elif doc_id is not None and doc_id >= 525:
             assert not kept
     good = quality_lines.keep_good(frame(spark, rows))
-    assert good.columns == docs.columns and {r["n_words"] for r in good.collect()} == {"d"}
+    assert good.columns == docs.columns and {r["n_words"] for r in good.collect()} == {"e"}
     assert quality_lines.judge(nothing).count() == 0 and quality_lines.keep_good(nothing).count() == 0
 
 
