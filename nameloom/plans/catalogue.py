@@ -277,7 +277,7 @@ def html_link_discovery_distinct(spark, d):
 
 @query(r"""SELECT doc_id, regexp_extract(text, '\b([A-Z][a-z]+(?:\s+[a-z][a-z.-]+)+(?:\s+subsp\.\s+[a-z-]+)?)\b', 1) AS latin FROM documents WHERE octet_length(encode(text)) = length(text)""")
 def latin_name_extract(spark, d):
-    return _table(spark, d, "documents").where(is_ascii(F.col("text"))).select("doc_id", F.regexp_extract("text", html.LATIN, 1).alias("latin"))
+    return _table(spark, d, "documents").where(is_ascii(F.col("text"))).select("doc_id", html.first_latin("text").alias("latin"))
 
 
 @query("""WITH c AS (SELECT page_id % 7 AS category, page_id // 7 AS page_no, length(html) % 3 AS n FROM pages), s AS (SELECT *, n = 0 AND lag(n) OVER (PARTITION BY category ORDER BY page_no) = 0 AS stop FROM c),
