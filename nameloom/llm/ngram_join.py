@@ -16,10 +16,12 @@ it has fewer words).  Two documents link when 100 * |intersection| >= ``percent`
    share a shingle there.  Shingles of frequency one join nothing, so most
    documents are done here; the others keep the shared part of their prefix.
 4. Documents with the same size and the same shared prefix form a group.
-5. Group pairs: each (shingle, size class) list is first compared with its
-   smallest member only.  After verification and connected components, the pairs
+5. Group pairs: each (shingle, size class) list is first compared with one
+   member only, the one with the fewest shingles of its own (the text that its near
+   copies were made from, if there is one).  After verification and connected components, the pairs
    left are those of one list whose components differ; they are made from the
-   lists' smaller components only, filtered by size, expanded to members and
+   lists' smaller components only, filtered by size and by position (what two sets
+   can still share if a shingle is their first common one), expanded to members and
    verified.  Pairs inside one component need no further check, since the result is
    the component of each document.  So no link between different texts is lost,
    and a group of thousands of copies costs a multiple of its size.
@@ -47,7 +49,7 @@ from nameloom.llm.common import by_ids, connected_components, materialise
 DENSE = 4
 #: Shingles that one counting task takes on average (documents have about one for 5 bytes).
 BUCKET = 1_000_000
-SHINGLES = "doc string, size long, tokens array<long>"
+SHINGLES = "doc string, size long, private long, spare long, tokens array<long>"
 
 
 def prefix_length(size: np.ndarray | int, percent: int):
@@ -102,16 +104,16 @@ def _table(rows: list[dict]) -> pa.Table:
 
 def _send(n: int, buckets: int):
     """Texts to rows for the buckets: entries (fingerprint, place), negative places being counts."""
-    from nameloom.llm.wordhash import pieces
+    from nameloom.llm.wordhash import release, text_pieces
 
     def rows(batches):
         from pyspark import TaskContext
 
         batch_no = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
         for batch in batches:
-            docs, texts = batch.column("doc").to_pylist(), batch.column("text").to_pylist()
-            for lo, hi in pieces(texts):
-                full = shingle_sets(texts[lo:hi], n)
+            docs = batch.column("doc").to_pylist()
+            for lo, hi, texts in text_pieces(batch.column("text"), 4 << 20):
+                full = shingle_sets(texts, n)
                 sets = [np.unique((s >> np.uint64(32)).astype(np.uint32)) for s in full]
                 sizes = np.array([len(s) for s in full], dtype=np.int64)
                 fps = np.concatenate([*sets, np.empty(0, dtype=np.uint32)])
@@ -133,12 +135,15 @@ def _send(n: int, buckets: int):
                         out.append(_batch_row(b, batch_no, fps=f, marks=m))
                 yield from _table(out).to_batches()
                 batch_no += 1
+        release()
 
     return rows
 
 
 def _count(table: pa.Table) -> pa.Table:
     """Of one bucket: entries in two documents or more go back to their batches, with the frequency."""
+    from nameloom.llm.wordhash import release
+
     rows = table.to_pylist()
     out = [r for r in rows if r["docs"] is not None]
     rows = [r for r in rows if r["docs"] is None]
@@ -154,6 +159,8 @@ def _count(table: pa.Table) -> pa.Table:
         at += len(f)
         if (shared := own > 1).any():
             out.append(_batch_row(-1, batch, fps=f[shared], marks=np.concatenate([m[shared].astype(np.int64), own[shared]])))
+    del rows, parts, fps, mark, known, where, df
+    release()
     return _table(out)
 
 
@@ -178,41 +185,46 @@ def _prefixes(percent: int):
             at = np.concatenate([np.arange(a, b) for a, b in zip(lo.tolist(), hi.tolist())] or [np.empty(0, dtype=np.int64)]).astype(np.int64)
             all_fps.append(dense_fps[at]), all_place.append(dense_place[at].astype(np.int64)), all_df.append(np.repeat(df[~single], hi - lo))
         tokens: list[list[int]] = [[] for _ in docs]
+        private = own.copy()
         if all_fps:
             fps, place, df = np.concatenate(all_fps), np.concatenate(all_place), np.concatenate(all_df)
             order = np.lexsort((fps, df, place))
             fps, place = fps[order], place[order]
             bounds = np.searchsorted(place, np.arange(len(docs) + 1))
             shared = np.diff(bounds)
-            keep = prefix_length(sizes, percent) - (own - shared)  # entries of frequency one come first
+            private = own - shared
+            keep = prefix_length(sizes, percent) - private  # entries of frequency one come first
             for i in np.flatnonzero((keep > 0) & (shared > 0)).tolist():
                 tokens[i] = fps[bounds[i] : min(bounds[i] + keep[i], bounds[i + 1])].astype(np.int64).tolist()
-        return pa.table({"doc": docs, "size": pa.array(sizes, pa.int64()), "tokens": pa.array(tokens, pa.list_(pa.int64()))})
+        return pa.table({"doc": docs, "size": pa.array(sizes, pa.int64()), "private": pa.array(private, pa.int64()), "spare": pa.array(sizes - own, pa.int64()), "tokens": pa.array(tokens, pa.list_(pa.int64()))})
 
     return rows
 
 
 def _set_rows(n: int):
-    from nameloom.llm.wordhash import pieces
+    from nameloom.llm.wordhash import release, text_pieces
 
     def rows(batches):
         for batch in batches:
-            docs, texts = batch.column("doc"), batch.column("text").to_pylist()
-            for lo, hi in pieces(texts):
-                yield pa.record_batch({"doc": docs.slice(lo, hi - lo), "full": pa.array([s.tobytes() for s in shingle_sets(texts[lo:hi], n)], pa.binary())})
+            for lo, hi, texts in text_pieces(batch.column("text")):
+                yield pa.record_batch({"doc": batch.column("doc").slice(lo, hi - lo), "full": pa.array([s.tobytes() for s in shingle_sets(texts, n)], pa.binary())})
+        release()
 
     return rows
 
 
 def _linked(percent: int):
+    from nameloom.llm.wordhash import release
+
     def rows(batches):
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
-                x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+            for x, y in zip(batch.column("x"), batch.column("y")):
+                x, y = np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.record_batch({c: batch.column(c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")})
+        release()
 
     return rows
 
@@ -236,17 +248,27 @@ def shared_prefixes(texts: DataFrame, n: int, percent: int, total_bytes: int) ->
 
 
 def candidate_links(sized: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that connect every component of ``sized`` (doc, size, tokens)."""
-    keys = ["size", "tokens"]
-    groups = sized.groupBy(*keys).agg(F.min("doc").alias("g"), F.count(F.lit(1)).alias("members"))
+    """Links (a, b) that connect every component of ``sized`` (doc, size, private, spare, tokens)."""
+    keys = ["size", "private", "spare", "tokens"]
+    groups = sized.groupBy(*keys).agg(F.min("doc").alias("g"))
     members = materialise(sized.join(groups, keys).select("doc", "g", "size"), "prefix-members")
-    lists = materialise(groups.select("g", "size", F.explode("tokens").alias("token")), "prefix-lists")
+    # rest: the largest overlap with a set whose first common shingle is this entry
+    lists = groups.select("g", "size", "private", "spare", F.posexplode("tokens").alias("at", "token"))
+    lists = lists.select("g", "size", "token", (F.col("private") / F.col("size")).alias("own"), (F.col("size") - F.col("private") - F.col("at") + F.col("spare")).alias("rest"))
+    lists = materialise(lists, "prefix-lists")
+
+    def fits(x: str, y: str):
+        """Of entries with sizes s and rests r: may the sets link, this being their first common shingle?"""
+        s, t = F.col(f"s{x}"), F.col(f"s{y}")
+        return (100 * F.least(s, t) >= percent * F.greatest(s, t)) & ((100 + percent) * F.least(f"r{x}", f"r{y}") >= percent * (s + t))
 
-    # first comparisons: members with their group's first, and list entries with the list's first
+    # first comparisons: members with their group's first, and list entries with the list's most shared
     step = math.log(100 / percent) / 2
-    classed = lists.withColumn("c", F.floor(F.log(F.col("size").cast("double")) / step))
-    firsts = classed.groupBy("token", "c").agg(F.min("g").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    first_pairs = classed.join(firsts, ["token", "c"]).where("g <> first").select(*_ordered(F.col("g"), F.col("first")))
+    classed = lists.withColumn("c", F.floor(F.log(F.col("size").cast("double")) / step)).withColumnsRenamed({"size": "s1", "rest": "r1"})
+    center = F.min_by(F.struct("g", "s1", "r1"), F.struct("own", "g"))
+    firsts = classed.groupBy("token", "c").agg(center.alias("m"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    firsts = firsts.select("token", "c", F.col("m.g").alias("first"), F.col("m.s1").alias("s2"), F.col("m.r1").alias("r2"))
+    first_pairs = classed.join(firsts, ["token", "c"]).where("g <> first").where(fits("1", "2")).select(*_ordered(F.col("g"), F.col("first")))
     pairs = first_pairs.union(members.where("doc <> g").select(*_ordered(F.col("doc"), F.col("g")))).distinct()
     links = materialise(verified(pairs, sets, percent), "links-first")
     labels = materialise(connected_components(links), "labels-first")
@@ -254,14 +276,14 @@ def candidate_links(sized: DataFrame, sets: DataFrame, percent: int) -> DataFram
     # what is left: entries of one list in different components
     comp = members.join(labels, members["doc"] == labels["v"], "left").select("doc", "g", "size", F.coalesce("label", "doc").alias("comp"))
     comp = materialise(comp, "member-components")
-    entries = lists.select("g", "token").join(comp.select("g", "size", "comp").distinct(), "g")
+    entries = lists.join(comp.select("g", "comp").distinct(), "g")
     per = entries.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("n"))
     main = per.groupBy("token").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")).where("comps > 1").drop("comps")
     mixed = entries.join(main, "token")
-    small = mixed.where("comp <> main").select("token", F.col("g").alias("g1"), F.col("size").alias("s1"), F.col("comp").alias("c1"))
-    every = mixed.select("token", F.col("g").alias("g2"), F.col("size").alias("s2"), F.col("comp").alias("c2"), (F.col("comp") == F.col("main")).alias("in_main"))
-    fits = (F.col("c1") != F.col("c2")) & (100 * F.least("s1", "s2") >= percent * F.greatest("s1", "s2")) & (F.col("in_main") | (F.col("c1") < F.col("c2")))
-    left = small.join(every, "token").where(fits).select("g1", "c1", "g2", "c2").distinct()
+    small = mixed.where("comp <> main").select("token", F.col("g").alias("g1"), F.col("size").alias("s1"), F.col("rest").alias("r1"), F.col("comp").alias("c1"))
+    every = mixed.select("token", F.col("g").alias("g2"), F.col("size").alias("s2"), F.col("rest").alias("r2"), F.col("comp").alias("c2"), (F.col("comp") == F.col("main")).alias("in_main"))
+    apart = (F.col("c1") != F.col("c2")) & (F.col("in_main") | (F.col("c1") < F.col("c2")))
+    left = small.join(every, "token").where(apart & fits("1", "2")).select("g1", "c1", "g2", "c2").distinct()
     one, two = comp.select(F.col("g").alias("g1"), F.col("comp").alias("c1"), F.col("doc").alias("d1")), comp.select(F.col("g").alias("g2"), F.col("comp").alias("c2"), F.col("doc").alias("d2"))
     expanded = left.join(one, ["g1", "c1"]).join(two, ["g2", "c2"]).select(*_ordered(F.col("d1"), F.col("d2"))).distinct()
     return links.union(verified(expanded, sets, percent))

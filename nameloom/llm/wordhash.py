@@ -98,16 +98,32 @@ def hash_words(texts, fold_ascii: bool = False) -> Words:
     return Words(mix(out + (ends - starts).astype(np.uint64)), bounds, blob, starts, ends)
 
 
-def pieces(texts: list, limit: int = 4 << 20):
-    """Ranges (lo, hi) of ``texts`` of about ``limit`` characters each, one text at least."""
-    lo = size = 0
-    for i, t in enumerate(texts):
-        size += len(t) if t else 0
-        if size >= limit:
-            yield lo, i + 1
-            lo, size = i + 1, 0
-    if lo < len(texts):
-        yield lo, len(texts)
+def text_pieces(column, limit: int = 1 << 20):
+    """(lo, hi, texts) of an Arrow string column in pieces of about ``limit`` bytes, one text at least.
+
+    Only one piece exists as Python strings at a time.
+    """
+    import pyarrow.compute as pc
+
+    sizes = np.cumsum(np.nan_to_num(pc.binary_length(column).to_numpy(zero_copy_only=False).astype(float)))
+    lo = 0
+    while lo < len(column):
+        hi = max(lo + 1, int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + limit, side="right")))
+        yield lo, hi, column.slice(lo, hi - lo).to_pylist()
+        lo = hi
+
+
+def release() -> None:
+    """Give memory that this worker no longer uses back to the system; idle workers stay alive for a while."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 @lru_cache(maxsize=16)
