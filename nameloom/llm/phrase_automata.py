@@ -51,14 +51,14 @@ def _smallest(phrases: np.ndarray, span: int) -> np.ndarray:
 
 
 def _phrase_rows(window: int, phrase: int):
-    from nameloom.llm.wordhash import hash_words, pieces, window_hashes
+    from nameloom.llm.wordhash import hash_words, release, text_pieces, window_hashes
 
     def rows(batches):
         for batch in batches:
-            ids, rids, texts = batch.column("k").to_numpy(zero_copy_only=False), batch.column("r").to_numpy(zero_copy_only=False), batch.column("text").to_pylist()
-            for lo, hi in pieces(texts):
+            ids, rids = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("k", "r"))
+            for lo, hi, texts in text_pieces(batch.column("text")):
                 found, docs, at, whole = [], [], [], []
-                w = hash_words(texts[lo:hi])
+                w = hash_words(texts)
                 for i in range(len(w)):
                     h = w.of(i)
                     if len(h) < window:
@@ -71,6 +71,7 @@ def _phrase_rows(window: int, phrase: int):
                     whole.append(np.arange(len(keys) + 1) == len(keys))
                 if found:
                     yield pa.record_batch({"h": _signed(np.concatenate(found)), "k": np.concatenate(docs), "r": np.concatenate(at), "whole": np.concatenate(whole)})
+        release()
 
     return rows
 
@@ -85,7 +86,7 @@ def _letters(h: np.ndarray) -> str:
 def _window_rows(window: int, phrase: int):
     import ahocorasick
 
-    from nameloom.llm.wordhash import hash_words, pieces, window_hashes
+    from nameloom.llm.wordhash import hash_words, release, text_pieces, window_hashes
 
     span = window - phrase + 1
 
@@ -115,9 +116,9 @@ def _window_rows(window: int, phrase: int):
     def rows(batches):
         for batch in batches:
             ids, rids = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("k", "r"))
-            texts, keys = batch.column("text").to_pylist(), batch.column("phrases")
-            for lo, hi in pieces(texts):
-                w = hash_words(texts[lo:hi])
+            keys = batch.column("phrases")
+            for lo, hi, texts in text_pieces(batch.column("text"), 4 << 20):
+                w = hash_words(texts)
                 doc_words = [w.of(i) for i in range(len(w))]
                 doc_phrases = [window_hashes(h, phrase) for h in doc_words]
                 wanted = np.unique(keys.slice(lo, hi - lo).flatten().to_numpy(zero_copy_only=False).view(np.uint64))
@@ -132,24 +133,25 @@ def _window_rows(window: int, phrase: int):
                     at.append(np.full(len(own), rids[lo + i]))
                 if found:
                     yield pa.record_batch({"w": _signed(np.concatenate(found)), "k": np.concatenate(docs), "r": np.concatenate(at)})
+        release()
 
     return rows
 
 
 def _removal_rows(window: int):
-    from nameloom.llm.wordhash import hash_words, pieces, window_hashes
+    from nameloom.llm.wordhash import hash_words, release, text_pieces, window_hashes
 
     def rows(batches):
         for batch in batches:
-            texts, marks = batch.column("text").to_pylist(), batch.column("marked").to_pylist()
-            out_n, out_removed, out_sha, out_kept = [], [], [], []
-            for lo, hi in pieces(texts):
-                w = hash_words(texts[lo:hi])
+            for lo, hi, texts in text_pieces(batch.column("text")):
+                out_n, out_removed, out_sha, out_kept = [], [], [], []
+                marks = batch.column("marked").slice(lo, hi - lo)
+                w = hash_words(texts)
                 for i in range(len(w)):
                     h = w.of(i)
                     gone = np.zeros(len(h) + 1, dtype=np.int64)
-                    if marks[lo + i] and len(h) >= window:
-                        at = np.flatnonzero(np.isin(window_hashes(h, window), np.array(marks[lo + i], dtype=np.int64).view(np.uint64)))
+                    if marks[i].is_valid and len(h) >= window:
+                        at = np.flatnonzero(np.isin(window_hashes(h, window), marks[i].values.to_numpy().view(np.uint64)))
                         np.add.at(gone, at, 1)
                         np.add.at(gone, at + window, -1) if len(at) else None
                     covered = np.cumsum(gone)[:-1] > 0
@@ -158,7 +160,8 @@ def _removal_rows(window: int):
                     out_removed.append(int(covered.sum()))
                     out_sha.append(hashlib.sha256(kept).hexdigest())
                     out_kept.append(kept.decode("utf-8", "surrogatepass"))
-            yield pa.record_batch({"doc_id": batch.column("doc_id"), "n_words": pa.array(out_n, pa.int64()), "n_removed": pa.array(out_removed, pa.int64()), "kept_sha256": out_sha, "kept_text": pa.array(out_kept, pa.string())})
+                yield pa.record_batch({"doc_id": batch.column("doc_id").slice(lo, hi - lo), "n_words": pa.array(out_n, pa.int64()), "n_removed": pa.array(out_removed, pa.int64()), "kept_sha256": out_sha, "kept_text": pa.array(out_kept, pa.string())})
+        release()
 
     return rows
 

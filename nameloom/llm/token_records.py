@@ -143,7 +143,7 @@ def record(doc_id: int | None, ids: bytes, wide: bool) -> bytes:
 
 
 def _write(folder: str, tokenizer_path: str, end_id: int):
-    from nameloom.llm.wordhash import pieces
+    from nameloom.llm.wordhash import text_pieces
 
     def rows(batches):
         from pyspark import TaskContext
@@ -158,10 +158,10 @@ def _write(folder: str, tokenizer_path: str, end_id: int):
         records = ids = size = 0
         data = index = None
         for batch in batches:
-            docs, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            for lo, hi in pieces(texts, 1 << 20):
+            docs = batch.column("doc_id").to_pylist()
+            for lo, hi, texts in text_pieces(batch.column("text")):
                 out, entries = [], []
-                for doc_id, raw in zip(docs[lo:hi], enc.encode(texts[lo:hi])):
+                for doc_id, raw in zip(docs[lo:hi], enc.encode(texts)):
                     entries.append(index_entry(size, ids))
                     out.append(record(doc_id, raw + end, wide))
                     size += len(out[-1])
