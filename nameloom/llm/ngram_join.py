@@ -18,7 +18,8 @@ it has fewer words).  Two documents link when 100 * |intersection| >= ``percent`
 4. Documents with the same size and the same shared prefix form a group.
 5. Group pairs: each (shingle, size class) list is first compared with one
    member only, the one with the fewest shingles of its own (the text that its near
-   copies were made from, if there is one).  After verification and connected components, the pairs
+   copies were made from, if there is one); then entries outside their
+   list's largest component are compared with one member of it.  After verification and connected components, the pairs
    left are those of one list whose components differ; they are made from the
    lists' smaller components only, filtered by size and by position (what two sets
    can still share if a shingle is their first common one), expanded to members and
@@ -49,6 +50,8 @@ from nameloom.llm.common import by_ids, connected_components, materialise
 DENSE = 4
 #: Shingles that one counting task takes on average (documents have about one for 5 bytes).
 BUCKET = 1_000_000
+#: Rounds in which entries apart from their list's main component are compared with one of its members.
+NEAR_ROUNDS = 1
 SHINGLES = "doc string, size long, private long, spare long, tokens array<long>"
 
 
@@ -247,6 +250,17 @@ def shared_prefixes(texts: DataFrame, n: int, percent: int, total_bytes: int) ->
     return counted.groupBy("batch").applyInArrow(_prefixes(percent), SHINGLES)
 
 
+def _mixed_lists(lists: DataFrame, members: DataFrame, links: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+    """(doc, g, size, comp) of all members, and the entries, with comp and main, of lists with more than one component."""
+    labels = materialise(connected_components(links, f"components-{turn}"), f"labels-{turn}")
+    comp = members.join(labels, members["doc"] == labels["v"], "left").select("doc", "g", "size", F.coalesce("label", "doc").alias("comp"))
+    comp = materialise(comp, f"member-components-{turn}")
+    entries = lists.join(comp.select("g", "comp").distinct(), "g")
+    per = entries.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("n"))
+    main = per.groupBy("token").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")).where("comps > 1").drop("comps")
+    return comp, materialise(entries.join(main, "token"), f"mixed-lists-{turn}")
+
+
 def candidate_links(sized: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) that connect every component of ``sized`` (doc, size, private, spare, tokens)."""
     keys = ["size", "private", "spare", "tokens"]
@@ -271,15 +285,17 @@ def candidate_links(sized: DataFrame, sets: DataFrame, percent: int) -> DataFram
     first_pairs = classed.join(firsts, ["token", "c"]).where("g <> first").where(fits("1", "2")).select(*_ordered(F.col("g"), F.col("first")))
     pairs = first_pairs.union(members.where("doc <> g").select(*_ordered(F.col("doc"), F.col("g")))).distinct()
     links = materialise(verified(pairs, sets, percent), "links-first")
-    labels = materialise(connected_components(links), "labels-first")
+    # entries outside their list's main component are compared with one of its members, another one in each list and round
+    for turn in range(1, NEAR_ROUNDS + 1):
+        comp, mixed = _mixed_lists(lists, members, links, turn)
+        some = F.min_by(F.struct("g", "size", "rest"), F.xxhash64("g", "token", F.lit(turn)))
+        inside = mixed.where("comp = main").groupBy("token").agg(some.alias("m")).select("token", F.col("m.g").alias("g2"), F.col("m.size").alias("s2"), F.col("m.rest").alias("r2"))
+        tries = mixed.where("comp <> main").withColumnsRenamed({"size": "s1", "rest": "r1"}).join(inside, "token").where(fits("1", "2"))
+        pairs = tries.select(*_ordered(F.col("g"), F.col("g2"))).distinct()
+        links = materialise(links.union(verified(pairs, sets, percent)), f"links-{turn}")
 
     # what is left: entries of one list in different components
-    comp = members.join(labels, members["doc"] == labels["v"], "left").select("doc", "g", "size", F.coalesce("label", "doc").alias("comp"))
-    comp = materialise(comp, "member-components")
-    entries = lists.join(comp.select("g", "comp").distinct(), "g")
-    per = entries.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("n"))
-    main = per.groupBy("token").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")).where("comps > 1").drop("comps")
-    mixed = entries.join(main, "token")
+    comp, mixed = _mixed_lists(lists, members, links, NEAR_ROUNDS + 1)
     small = mixed.where("comp <> main").select("token", F.col("g").alias("g1"), F.col("size").alias("s1"), F.col("rest").alias("r1"), F.col("comp").alias("c1"))
     every = mixed.select("token", F.col("g").alias("g2"), F.col("size").alias("s2"), F.col("rest").alias("r2"), F.col("comp").alias("c2"), (F.col("comp") == F.col("main")).alias("in_main"))
     apart = (F.col("c1") != F.col("c2")) & (F.col("in_main") | (F.col("c1") < F.col("c2")))
