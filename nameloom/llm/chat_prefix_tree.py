@@ -76,7 +76,13 @@ def tokenizer(path: str):
     return t
 
 
+#: Rows that are Python objects at a time in a worker.
+SLICE = 200
+
+
 def _encode(path: str):
+    from nameloom.llm.wordhash import release
+
     def rows(batches):
         t = tokenizer(path)
         short: dict[str, np.ndarray] = {}
@@ -87,18 +93,24 @@ def _encode(path: str):
             return short[part]
 
         for batch in batches:
-            for key, path_, turns in zip(batch.column("key").to_pylist(), batch.column("path").to_pylist(), batch.column("turns").to_pylist()):
-                parts = [turn_parts(x["role"], x["text"]) for x in turns]
-                bodies = [np.array(e.ids, dtype="<u4") for e in t.encode_batch_fast([p[1] for p in parts], add_special_tokens=False)]
-                if len(short) > 10_000:
-                    short.clear()
-                heads, end = [ids(p[0]) for p in parts], ids(END)
-                tokens = [np.concatenate([h, b, end]).tobytes() for h, b in zip(heads, bodies)]
-                spoken = [x["role"] == "assistant" for x in turns]
+            for at in range(0, len(batch), SLICE):
+                found = batch.slice(at, SLICE)
+                tokens, loss_from, loss_to = [], [], []
+                for turns in found.column("turns").to_pylist():
+                    parts = [turn_parts(x["role"], x["text"]) for x in turns]
+                    bodies = [np.array(t.encode(p[1], add_special_tokens=False).ids, dtype="<u4") for p in parts]
+                    if len(short) > 10_000:
+                        short.clear()
+                    heads, end = [ids(p[0]) for p in parts], ids(END)
+                    spoken = [x["role"] == "assistant" for x in turns]
+                    tokens.append([np.concatenate([h, b, end]).tobytes() for h, b in zip(heads, bodies)])
+                    loss_from.append([len(h) if s else 0 for h, s in zip(heads, spoken)])
+                    loss_to.append([len(h) + len(b) if s else 0 for h, b, s in zip(heads, bodies, spoken)])
                 yield pa.record_batch(
-                    [pa.array([key]), pa.array([path_], pa.list_(pa.string())), pa.array([tokens], pa.list_(pa.binary())), pa.array([[len(h) if s else 0 for h, s in zip(heads, spoken)]], pa.list_(pa.int32())), pa.array([[len(h) + len(b) if s else 0 for h, b, s in zip(heads, bodies, spoken)]], pa.list_(pa.int32()))],
+                    [found.column("key"), found.column("path"), pa.array(tokens, pa.list_(pa.binary())), pa.array(loss_from, pa.list_(pa.int32())), pa.array(loss_to, pa.list_(pa.int32()))],
                     names=["key", "path", "tokens", "loss_from", "loss_to"],
                 )
+        release()
 
     return rows
 
@@ -129,7 +141,7 @@ def _walk(batches):
     last: list[str] = []
     stack: list[tuple[int, int]] = []
     first_path, head_ends = None, None
-    for batch in batches:
+    for batch in (whole.slice(i, SLICE) for whole in batches for i in range(0, len(whole), SLICE)):
         out = []
         for row in batch.to_pylist():
             shared = common_prefix(last, row["path"])
@@ -146,11 +158,7 @@ def _walk(batches):
                 first_path, head_ends = last, [e for _, e in stack]
             out.append(_blank(part, "leaf", row=number, key=row["key"], starts=[s for s, _ in stack], ends=[e for _, e in stack]))
             number += 1
-            if len(out) > 2_000:
-                yield _emitted(out)
-                out = []
-        if out:
-            yield _emitted(out)
+        yield _emitted(out)
     if first_path is not None:
         yield _emitted([_blank(part, "edge", n_tokens=at, starts=[s for s, _ in stack], ends=[e for _, e in stack], first_path=first_path, last_path=last, head_ends=head_ends)])
 
@@ -207,18 +215,22 @@ def prefix_tree(turns: DataFrame, tokenizer_path: str) -> tuple[DataFrame, DataF
 
 
 def _decode(path: str):
+    from nameloom.llm.wordhash import release
+
     def rows(batches):
         t = tokenizer(path)
-        for batch in batches:
-            out: dict[str, list] = {n: [] for n in ("role", "text", "loss_text", "chars")}
-            ids = [np.frombuffer(raw, dtype="<u4").tolist() for raw in batch.column("tokens").to_pylist()]
-            whole = t.decode_batch(ids, skip_special_tokens=False)
-            spoken = t.decode_batch([x[a:b] for x, a, b in zip(ids, batch.column("loss_from").to_pylist(), batch.column("loss_to").to_pylist())], skip_special_tokens=False)
-            for formatted, loss in zip(whole, spoken):
-                role, text = parse_turn(formatted)
-                for name, value in (("role", role), ("text", text), ("loss_text", unescape(loss)), ("chars", len(formatted))):
-                    out[name].append(value)
-            yield pa.record_batch({"start": batch.column("start"), "role": pa.array(out["role"], pa.string()), "text": pa.array(out["text"], pa.string()), "loss_text": pa.array(out["loss_text"], pa.string()), "chars": pa.array(out["chars"], pa.int64())})
+        for whole in batches:
+            for batch in (whole.slice(i, SLICE) for i in range(0, len(whole), SLICE)):
+                out: dict[str, list] = {n: [] for n in ("role", "text", "loss_text", "chars")}
+                for raw, a, b in zip(*(batch.column(c).to_pylist() for c in ("tokens", "loss_from", "loss_to"))):
+                    ids = np.frombuffer(raw, dtype="<u4")
+                    formatted = t.decode(ids.tolist(), skip_special_tokens=False)
+                    role, text = parse_turn(formatted)
+                    loss = t.decode(ids[a:b].tolist(), skip_special_tokens=False) if b > a else ""
+                    for name, value in (("role", role), ("text", text), ("loss_text", unescape(loss)), ("chars", len(formatted))):
+                        out[name].append(value)
+                yield pa.record_batch({"start": batch.column("start"), "role": pa.array(out["role"], pa.string()), "text": pa.array(out["text"], pa.string()), "loss_text": pa.array(out["loss_text"], pa.string()), "chars": pa.array(out["chars"], pa.int64())})
+        release()
 
     return rows
 
