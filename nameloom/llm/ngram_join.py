@@ -21,8 +21,10 @@ it has fewer words).  Two documents link when 100 * |intersection| >= ``percent`
    copies were made from, if there is one); then entries outside their
    list's largest component are compared with one member of it.  After verification and connected components, the pairs
    left are those of one list whose components differ; they are made from the
-   lists' smaller components only, filtered by size and by position (what two sets
-   can still share if a shingle is their first common one), expanded to members and
+   lists' smaller components only, filtered by size, by position (what two sets
+   can still share if a shingle is their first common one) and by parity sketches (which
+   differ in no more bits than the sets in shingles; a group's members may be as far from
+   its sketch as the farthest is), expanded to members, filtered by their own sketches and
    verified.  Pairs inside one component need no further check, since the result is
    the component of each document.  So no link between different texts is lost,
    and a group of thousands of copies costs a multiple of its size.
@@ -52,6 +54,8 @@ DENSE = 4
 BUCKET = 1_000_000
 #: Rounds in which entries apart from their list's main component are compared with one of its members.
 NEAR_ROUNDS = 1
+#: Longs of 64 bits in the parity sketch of a set.
+SKETCH = 16
 SHINGLES = "doc string, size long, private long, spare long, tokens array<long>"
 
 
@@ -204,13 +208,25 @@ def _prefixes(percent: int):
     return rows
 
 
+def _sketch(full: np.ndarray) -> np.ndarray:
+    """Parities of a set's shingles in 64 * ``SKETCH`` places: the bits of two sets differ at most as often as the sets do."""
+    places = 64 * SKETCH
+    return np.packbits(np.bincount((full % np.uint64(places)).astype(np.int64), minlength=places) & 1).view(np.int64)
+
+
+def _apart(x: str, y: str):
+    """In how many bits two sketches differ."""
+    return sum((F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(SKETCH)), F.lit(0))
+
+
 def _set_rows(n: int):
     from nameloom.llm.wordhash import release, text_pieces
 
     def rows(batches):
         for batch in batches:
             for lo, hi, texts in text_pieces(batch.column("text")):
-                yield pa.record_batch({"doc": batch.column("doc").slice(lo, hi - lo), "full": pa.array([s.tobytes() for s in shingle_sets(texts, n)], pa.binary())})
+                full = shingle_sets(texts, n)
+                yield pa.record_batch({"doc": batch.column("doc").slice(lo, hi - lo), "full": pa.array([s.tobytes() for s in full], pa.binary()), "sketch": pa.array([_sketch(s) for s in full], pa.list_(pa.int64()))})
         release()
 
     return rows
@@ -296,12 +312,24 @@ def candidate_links(sized: DataFrame, sets: DataFrame, percent: int) -> DataFram
 
     # what is left: entries of one list in different components
     comp, mixed = _mixed_lists(lists, members, links, NEAR_ROUNDS + 1)
-    small = mixed.where("comp <> main").select("token", F.col("g").alias("g1"), F.col("size").alias("s1"), F.col("rest").alias("r1"), F.col("comp").alias("c1"))
-    every = mixed.select("token", F.col("g").alias("g2"), F.col("size").alias("s2"), F.col("rest").alias("r2"), F.col("comp").alias("c2"), (F.col("comp") == F.col("main")).alias("in_main"))
+    units = mixed.select("g", "comp").distinct()
+    inside = materialise(comp.join(units, ["g", "comp"]).join(sets.select("doc", "sketch"), "doc").select("doc", "g", "comp", "size", "sketch"), "left-members")
+    leads = inside.groupBy("g", "comp").agg(F.min_by("sketch", "doc").alias("lead"))
+    leads = inside.join(leads, ["g", "comp"]).groupBy("g", "comp").agg(F.first("lead").alias("lead"), F.max(_apart("sketch", "lead")).alias("radius"))
+    mixed = materialise(mixed.join(leads, ["g", "comp"]), "left-lists")
+
+    def near(x: str, y: str, slack=F.lit(0)):
+        """May sets with sketches x and y link, if these are up to ``slack`` bits off?"""
+        return (100 + percent) * (_apart(x, y) - slack) <= (100 - percent) * (F.col("s1") + F.col("s2"))
+
+    small = mixed.where("comp <> main").select("token", F.col("g").alias("g1"), F.col("size").alias("s1"), F.col("rest").alias("r1"), F.col("comp").alias("c1"), F.col("lead").alias("x1"), F.col("radius").alias("o1"))
+    every = mixed.select("token", F.col("g").alias("g2"), F.col("size").alias("s2"), F.col("rest").alias("r2"), F.col("comp").alias("c2"), (F.col("comp") == F.col("main")).alias("in_main"), F.col("lead").alias("x2"), F.col("radius").alias("o2"))
     apart = (F.col("c1") != F.col("c2")) & (F.col("in_main") | (F.col("c1") < F.col("c2")))
-    left = small.join(every, "token").where(apart & fits("1", "2")).select("g1", "c1", "g2", "c2").distinct()
-    one, two = comp.select(F.col("g").alias("g1"), F.col("comp").alias("c1"), F.col("doc").alias("d1")), comp.select(F.col("g").alias("g2"), F.col("comp").alias("c2"), F.col("doc").alias("d2"))
-    expanded = left.join(one, ["g1", "c1"]).join(two, ["g2", "c2"]).select(*_ordered(F.col("d1"), F.col("d2"))).distinct()
+    left = small.join(every, (small["token"] == every["token"]) & apart & fits("1", "2") & near("x1", "x2", F.col("o1") + F.col("o2"))).select("g1", "c1", "g2", "c2").distinct()
+    one, two = (inside.select(F.col("g").alias(f"g{i}"), F.col("comp").alias(f"c{i}"), F.col("doc").alias(f"d{i}"), F.col("size").alias(f"s{i}"), F.col("sketch").alias(f"x{i}")) for i in (1, 2))
+    two = two.withColumnsRenamed({"g2": "_g2", "c2": "_c2"})
+    first = left.join(one, ["g1", "c1"])
+    expanded = first.join(two, (first["g2"] == two["_g2"]) & (first["c2"] == two["_c2"]) & near("x1", "x2")).select(*_ordered(F.col("d1"), F.col("d2"))).distinct()
     return links.union(verified(expanded, sets, percent))
 
 
@@ -320,7 +348,7 @@ def components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     alive = materialise(sized.where("size(tokens) > 0"), "join-alive")
     wanted = materialise(classes.join(alive.select("doc"), "doc", "left_semi").select("row"), "join-wanted")
     full = by_ids(texts, wanted, "row", "left_semi").select(F.md5("text").alias("doc"), "text")
-    sets = materialise(full.mapInArrow(_set_rows(n), "doc string, full binary"), "join-sets").dropDuplicates(["doc"])
+    sets = materialise(full.mapInArrow(_set_rows(n), "doc string, full binary, sketch array<long>"), "join-sets").dropDuplicates(["doc"])
     labels = connected_components(candidate_links(alive, sets, percent), "components-all")
 
     named = classes.select("doc", "first").join(labels, classes["doc"] == labels["v"], "left").select("doc", "first", F.coalesce("label", "doc").alias("label"))
