@@ -25,7 +25,8 @@ it has fewer words).  Two documents link when 100 * |intersection| >= ``percent`
    can still share if a shingle is their first common one) and by parity sketches (which
    differ in no more bits than the sets in shingles; a group's members may be as far from
    its sketch as the farthest is), expanded to members, filtered by their own sketches and
-   verified.  Pairs inside one component need no further check, since the result is
+   verified: first each document with its nearest partner and with the least one by name, then,
+   of the other pairs, those that these links leave in different components.  Pairs inside one component need no further check, since the result is
    the component of each document.  So no link between different texts is lost,
    and a group of thousands of copies costs a multiple of its size.
 6. Verification compares the full 64-bit sets.
@@ -54,6 +55,8 @@ DENSE = 4
 BUCKET = 1_000_000
 #: Rounds in which entries apart from their list's main component are compared with one of its members.
 NEAR_ROUNDS = 1
+#: Rounds in which each document of the pairs left is compared with two of its partners, before the rest is.
+HOOK_ROUNDS = 2
 #: Longs of 64 bits in the parity sketch of a set.
 SKETCH = 16
 SHINGLES = "doc string, size long, private long, spare long, tokens array<long>"
@@ -329,8 +332,21 @@ def candidate_links(sized: DataFrame, sets: DataFrame, percent: int) -> DataFram
     one, two = (inside.select(F.col("g").alias(f"g{i}"), F.col("comp").alias(f"c{i}"), F.col("doc").alias(f"d{i}"), F.col("size").alias(f"s{i}"), F.col("sketch").alias(f"x{i}")) for i in (1, 2))
     two = two.withColumnsRenamed({"g2": "_g2", "c2": "_c2"})
     first = left.join(one, ["g1", "c1"])
-    expanded = first.join(two, (first["g2"] == two["_g2"]) & (first["c2"] == two["_c2"]) & near("x1", "x2")).select(*_ordered(F.col("d1"), F.col("d2"))).distinct()
-    return links.union(verified(expanded, sets, percent))
+    expanded = first.join(two, (first["g2"] == two["_g2"]) & (first["c2"] == two["_c2"]) & near("x1", "x2")).select(*_ordered(F.col("d1"), F.col("d2")), _apart("x1", "x2").alias("far")).distinct()
+    pairs = materialise(expanded, "left-pairs")
+    for turn in range(1, HOOK_ROUNDS + 1):
+        if pairs.isEmpty():
+            break
+        both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "far"))
+        chosen = both.groupBy("a").agg(F.min_by("b", F.struct("far", "b")).alias("nearest"), F.min("b").alias("least"))
+        tries = chosen.select("a", F.explode(F.array("nearest", "least")).alias("b")).select(*_ordered(F.col("a"), F.col("b"))).distinct()
+        tries = materialise(tries, f"hook-pairs-{turn}")
+        links = materialise(links.union(verified(tries, sets, percent)), f"hook-links-{turn}")
+        labels = materialise(connected_components(links, f"hook-components-{turn}"), f"hook-labels-{turn}")
+        one, two = (labels.select(F.col("v").alias(x), F.col("label").alias(f"_{x}")) for x in "ab")
+        rest = pairs.join(tries, ["a", "b"], "left_anti").join(one, "a", "left").join(two, "b", "left")
+        pairs = materialise(rest.where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b", "far"), f"hook-left-{turn}")
+    return links.union(verified(pairs.select("a", "b"), sets, percent))
 
 
 def components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
