@@ -2,14 +2,15 @@
 
 ``part`` plays the catalogue: each part is an entity whose scientific name is its two-word
 name (shared by many parts, so lookups are ambiguous), with a unique standard name,
-and an alias and, for some, a former name.  ``distinct`` is that catalogue with the first part of each name only.
+and an alias and, for some, a former name.  ``distinct`` is that catalogue with the first part of each name only;
+queries on it have a sibling ``..._all`` over all parts (``cascade_results`` itself runs over all).
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from nameloom.functions import features, html
@@ -55,6 +56,11 @@ ENT = """ent AS (SELECT p_partkey::BIGINT AS ent_ord, 'TAXON:' || printf('%04d',
 ONE = ENT + """, one AS (SELECT * FROM ent QUALIFY row_number() OVER (PARTITION BY scientific_name ORDER BY ent_ord) = 1)"""
 
 
+def whole(sql: str) -> str:
+    """SQL over the first entity of each name, with all entities in its place."""
+    return sql.replace(" QUALIFY row_number() OVER (PARTITION BY scientific_name ORDER BY ent_ord) = 1)", ")")
+
+
 def names_sql(source: str) -> str:
     """CTEs ``nm`` of the names of a catalogue; names of these catalogues are distinct within an entity."""
     return f"""nm AS (SELECT ent_ord, entity_id, i - 1 AS name_ord, l[i] AS name, lower(l[i]) AS norm FROM
@@ -111,12 +117,24 @@ def alias_exact_single(spark, d):
     return cascade.alias_hits(asked, names.alias_dictionary(entities)).select("qid", "entity_id", "matched_name", "source")
 
 
-@query(f"WITH {ONE} SELECT one.entity_id AS qid, (row_number() OVER (PARTITION BY one.entity_id ORDER BY ent.ent_ord) - 1)::BIGINT AS pos, ent.entity_id, one.scientific_name AS matched_name, CASE WHEN count(*) OVER (PARTITION BY one.entity_id) = 1 THEN 'exact' ELSE 'ambiguous_alias' END AS source FROM one JOIN ent USING (scientific_name)")
-def alias_ambiguous(spark, d):
-    asked = _asked(distinct_catalog(spark, d), F.initcap("scientific_name"))
+AMBIGUOUS = f"WITH {ONE} SELECT one.entity_id AS qid, (row_number() OVER (PARTITION BY one.entity_id ORDER BY ent.ent_ord) - 1)::BIGINT AS pos, ent.entity_id, one.scientific_name AS matched_name, CASE WHEN count(*) OVER (PARTITION BY one.entity_id) = 1 THEN 'exact' ELSE 'ambiguous_alias' END AS source FROM one JOIN ent USING (scientific_name)"
+
+
+def _ambiguous(spark, d, entities: DataFrame) -> DataFrame:
+    asked = _asked(entities, F.initcap("scientific_name"))
     return cascade.alias_hits(asked, names.alias_dictionary(catalog(spark, d))).select("qid", F.col("pos").cast("long").alias("pos"), "entity_id", "matched_name", "source")
 
 
+@query(AMBIGUOUS)
+def alias_ambiguous(spark, d):
+    return _ambiguous(spark, d, distinct_catalog(spark, d))
+
+
+@query(whole(AMBIGUOUS))
+def alias_ambiguous_all(spark, d):
+    return _ambiguous(spark, d, catalog(spark, d))
+
+
 LOOKUP = "lk AS (SELECT lower(scientific_name[1]) AS initial, split_part(lower(scientific_name), ' ', 2) AS epithet, entity_id, ent_ord FROM {0})"
 
 
@@ -128,19 +146,29 @@ def latin_lookup_build(spark, d):
 EXPANDED = f"WITH {ONE}, {LOOKUP.format('one')}, hits AS (SELECT q.entity_id AS qid, lk.entity_id, count(*) OVER (PARTITION BY q.entity_id) AS n FROM one q JOIN lk ON lower(q.scientific_name[1]) = initial AND split_part(q.scientific_name, ' ', 2) = epithet)"
 
 
-def _expanded(spark, d, entities: DataFrame) -> DataFrame:
-    asked = _asked(distinct_catalog(spark, d), F.concat(F.upper(F.substring("scientific_name", 1, 1)), F.lit("."), F.substring_index("scientific_name", " ", -1)))
+def _expanded(queried: DataFrame, entities: DataFrame) -> DataFrame:
+    asked = _asked(queried, F.concat(F.upper(F.substring("scientific_name", 1, 1)), F.lit("."), F.substring_index("scientific_name", " ", -1)))
     return cascade.abbreviation_hits(asked, names.abbreviation_lookup(entities))
 
 
 @query(f"{EXPANDED} SELECT qid, entity_id, 'expanded_exact' AS source FROM hits WHERE n = 1")
 def latin_expand_single(spark, d):
-    return _expanded(spark, d, distinct_catalog(spark, d)).where("source = 'expanded_exact'").select("qid", "entity_id", "source")
+    return _expanded(distinct_catalog(spark, d), distinct_catalog(spark, d)).where("source = 'expanded_exact'").select("qid", "entity_id", "source")
+
+
+@query(f"{whole(EXPANDED)} SELECT qid, entity_id, 'expanded_exact' AS source FROM hits WHERE n = 1")
+def latin_expand_single_all(spark, d):
+    return _expanded(catalog(spark, d), catalog(spark, d)).where("source = 'expanded_exact'").select("qid", "entity_id", "source")
 
 
 @query(f"{EXPANDED.replace('ent_ord FROM one)', 'ent_ord FROM ent)')} SELECT qid, entity_id, 'ambiguous_abbreviation' AS source FROM hits WHERE n > 1")
 def latin_expand_ambiguous(spark, d):
-    return _expanded(spark, d, catalog(spark, d)).where("source = 'ambiguous_abbreviation'").select("qid", "entity_id", "source")
+    return _expanded(distinct_catalog(spark, d), catalog(spark, d)).where("source = 'ambiguous_abbreviation'").select("qid", "entity_id", "source")
+
+
+@query(f"{whole(EXPANDED)} SELECT qid, entity_id, 'ambiguous_abbreviation' AS source FROM hits WHERE n > 1")
+def latin_expand_ambiguous_all(spark, d):
+    return _expanded(catalog(spark, d), catalog(spark, d)).where("source = 'ambiguous_abbreviation'").select("qid", "entity_id", "source")
 
 
 FEATURES = """base AS (SELECT entity_id AS id, lower({1}) AS norm FROM {0}), ft AS (
@@ -163,9 +191,12 @@ def ngram_l2_weights(spark, d):
     return features.unit_weights(_frequencies(catalog(spark, d), "standard_name_cn"), "id").select("id", "feature", F.round("weight", 6).alias("weight"))
 
 
-@query(f"""WITH {ONE}, {FEATURES.format('one', 'scientific_name')}, w AS (SELECT id, feature, tf / sqrt(sum((tf * tf)::DOUBLE) OVER (PARTITION BY id)) AS weight FROM tf),
+COSINE = f"""WITH {ONE}, {FEATURES.format('one', 'scientific_name')}, w AS (SELECT id, feature, tf / sqrt(sum((tf * tf)::DOUBLE) OVER (PARTITION BY id)) AS weight FROM tf),
   s AS (SELECT a.id AS qid, b.id AS cid, round(sum(a.weight * b.weight), 6) AS score FROM w a JOIN w b USING (feature) WHERE a.id <> b.id GROUP BY 1, 2)
-  SELECT qid, cid, score FROM s QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, cid) <= 5""")
+  SELECT qid, cid, score FROM s QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, cid) <= 5"""
+
+
+@query(COSINE)
 def ngram_sparse_cosine_topk(spark, d):
     w = features.unit_weights(_frequencies(distinct_catalog(spark, d), "scientific_name"), "id")
     found = features.sparse_cosine(w.withColumnRenamed("id", "qid"), w.withColumnRenamed("id", "cid")).where("qid <> cid").withColumn("score", F.round("score", 6))
@@ -173,6 +204,18 @@ def ngram_sparse_cosine_topk(spark, d):
     return top.select("qid", F.col("entity_id").alias("cid"), "score")
 
 
+@query(whole(COSINE))
+def ngram_sparse_cosine_topk_all(spark, d):
+    """Equal names have equal scores, so names are compared once; of each, its six smallest ids can be among five others."""
+    named = with_normalized(catalog(spark, d).select("entity_id", "scientific_name"), "scientific_name").select("entity_id", "norm")
+    w = features.unit_weights(features.term_frequencies(named.select(F.col("norm").alias("id"), "norm").distinct(), "id", "norm"), "id")
+    pairs = features.sparse_cosine(w.withColumnRenamed("id", "qid"), w.withColumnRenamed("id", "cid")).withColumn("score", F.round("score", 6))
+    first = named.withColumn("_n", F.row_number().over(Window.partitionBy("norm").orderBy("entity_id"))).where("_n <= 6").select(F.col("norm").alias("cid"), "entity_id")
+    six = vector.top_k(pairs.join(first, "cid").withColumn("first_ord", F.col("entity_id")), 6, 0.82).select("qid", "entity_id", "score")
+    found = named.select(F.col("entity_id").alias("id"), F.col("norm").alias("qid")).join(six, "qid").where("id <> entity_id").drop("qid")
+    return vector.top_k(found.select(F.col("id").alias("qid"), "entity_id", F.col("entity_id").alias("first_ord"), "score"), 5, 0.82).select("qid", F.col("entity_id").alias("cid"), "score")
+
+
 @query(f"""WITH {ENT}, {FEATURES.format('ent', 'standard_name_cn')}, h AS (SELECT id, ('0x' || substr(md5(feature), 1, 8))::BIGINT % 512 AS bucket, sum(tf)::BIGINT AS tf FROM tf GROUP BY 1, 2)
   SELECT id, bucket, round(tf / sqrt(sum((tf * tf)::DOUBLE) OVER (PARTITION BY id)), 6) AS weight FROM h""")
 def ngram_md5_hashed_vector(spark, d):
@@ -236,23 +279,33 @@ def eval_metrics_by_bucket(spark, d):
     return evaluation.metrics(_ranks(spark, d))
 
 
-def _cascade(spark, d) -> DataFrame:
-    entities = distinct_catalog(spark, d)
+def _cascade(entities: DataFrame) -> DataFrame:
     sci = F.col("scientific_name")
     texts = F.array(F.upper(sci), F.concat(F.upper(F.substring(sci, 1, 1)), F.lit("."), F.substring_index(sci, " ", -1)), F.concat(sci, F.lit("x")))
     asked = entities.select(F.posexplode(texts).alias("k", "query"), "entity_id").select(F.concat_ws(":", "entity_id", "k").alias("qid"), "query")
-    return cascade.retrieve(asked, cascade.build_index(entities, "char-ngram-sparse"))
+    # equal texts have equal results, so each is resolved once
+    found = cascade.retrieve(asked.select(F.col("query").alias("qid"), "query").distinct(), cascade.build_index(entities, "char-ngram-sparse"))
+    return asked.withColumnRenamed("query", "_text").join(found.withColumnRenamed("qid", "_text"), "_text").drop("_text")
 
 
 @query()
 def cascade_results(spark, d):
-    return _cascade(spark, d)
+    return _cascade(catalog(spark, d))
+
+
+STAGES = f"""{EXPANDED}, n AS (SELECT count(*) AS n FROM one) SELECT 'exact' AS source, n AS n_rows FROM n UNION ALL SELECT 'embedding', least(5, n) * n FROM n
+  UNION ALL SELECT CASE WHEN n = 1 THEN 'expanded_exact' ELSE 'ambiguous_abbreviation' END, count(*) FROM hits GROUP BY 1"""
+EXACT = "SELECT CASE WHEN n = 1 THEN 'exact' ELSE 'ambiguous_alias' END AS source, sum(n * n)::BIGINT AS n_rows FROM (SELECT count(*) AS n FROM one GROUP BY scientific_name) GROUP BY 1"
 
 
-@query(f"""{EXPANDED}, n AS (SELECT count(*) AS n FROM one) SELECT 'exact' AS source, n AS n_rows FROM n UNION ALL SELECT 'embedding', least(5, n) * n FROM n
-  UNION ALL SELECT CASE WHEN n = 1 THEN 'expanded_exact' ELSE 'ambiguous_abbreviation' END, count(*) FROM hits GROUP BY 1""")
+@query(STAGES)
 def cascade_stage_counts(spark, d):
-    return _cascade(spark, d).groupBy("source").agg(F.count(F.lit(1)).alias("n_rows"))
+    return _cascade(distinct_catalog(spark, d)).groupBy("source").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@query(whole(STAGES).replace("SELECT 'exact' AS source, n AS n_rows FROM n", EXACT))
+def cascade_stage_counts_all(spark, d):
+    return _cascade(catalog(spark, d)).groupBy("source").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 @query(r"""SELECT page_id, i - 1 AS pos, l[i] AS item FROM (SELECT page_id, list_filter(list_transform(regexp_extract_all(html, '(?is)<li\b[^>]*>(.*?)</li>', 1), lambda x: trim(regexp_replace(replace(replace(replace(replace(replace(replace(
@@ -316,14 +369,26 @@ SPLIT = ONE + """, sp AS (SELECT *, row_number() OVER (ORDER BY md5('13:' || ent
   tr AS (SELECT * FROM sp WHERE split_ord >= size), ev AS (SELECT * FROM sp WHERE split_ord < size)"""
 
 
-def _split(spark, d) -> tuple[DataFrame, DataFrame]:
-    rows = training.split_entities(distinct_catalog(spark, d))
+def _split(entities: DataFrame) -> tuple[DataFrame, DataFrame]:
+    rows = training.split_entities(entities)
     return rows.where("not is_eval"), rows.where("is_eval")
 
 
-@query(f"WITH {SPLIT} SELECT entity_id, split_ord, split_ord < size AS is_eval FROM sp")
+SPLITS = f"WITH {SPLIT} SELECT entity_id, split_ord, split_ord < size AS is_eval FROM sp"
+
+
+def _entity_split(entities: DataFrame) -> DataFrame:
+    return training.split_entities(entities).select("entity_id", F.col("split_ord").cast("long").alias("split_ord"), "is_eval")
+
+
+@query(SPLITS)
 def entity_split(spark, d):
-    return training.split_entities(distinct_catalog(spark, d)).select("entity_id", F.col("split_ord").cast("long").alias("split_ord"), "is_eval")
+    return _entity_split(distinct_catalog(spark, d))
+
+
+@query(whole(SPLITS))
+def entity_split_all(spark, d):
+    return _entity_split(catalog(spark, d))
 
 
 def _named_sql(source: str, out: str) -> str:
@@ -334,9 +399,21 @@ def _named_sql(source: str, out: str) -> str:
 HOLDOUTS = f"""{SPLIT}, {_named_sql('tr', 'trn')}, ho AS (SELECT entity_id, ent_ord, name AS heldout, norm AS heldout_norm, canonical FROM trn WHERE name_ord = n - 1 AND n >= 3 AND ('0x' || substr(md5('30:' || entity_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE < 0.4)"""
 
 
-@query(f"WITH {HOLDOUTS} SELECT entity_id, heldout FROM ho")
+HELD = f"WITH {HOLDOUTS} SELECT entity_id, heldout FROM ho"
+
+
+def _alias_holdouts(entities: DataFrame) -> DataFrame:
+    return training.alias_holdouts(_split(entities)[0]).select("entity_id", "heldout")
+
+
+@query(HELD)
 def alias_holdouts(spark, d):
-    return training.alias_holdouts(_split(spark, d)[0]).select("entity_id", "heldout")
+    return _alias_holdouts(distinct_catalog(spark, d))
+
+
+@query(whole(HELD))
+def alias_holdouts_all(spark, d):
+    return _alias_holdouts(catalog(spark, d))
 
 
 NEGATIVES = """hn AS (SELECT ent_ord, entity_id, standard_name_cn AS canonical, coalesce(
@@ -345,30 +422,75 @@ NEGATIVES = """hn AS (SELECT ent_ord, entity_id, standard_name_cn AS canonical,
   (SELECT min_by(b.standard_name_cn, b.ent_ord) FROM tr b WHERE b.entity_id <> a.entity_id), standard_name_cn) AS hard_negative FROM tr a)"""
 
 
-@query(f"WITH {SPLIT}, {NEGATIVES} SELECT entity_id, canonical, hard_negative FROM hn")
+HARD = f"WITH {SPLIT}, {NEGATIVES} SELECT entity_id, canonical, hard_negative FROM hn"
+
+
+def _hard_negatives(entities: DataFrame) -> DataFrame:
+    return training.hard_negatives(_split(entities)[0]).select("entity_id", "canonical", "hard_negative")
+
+
+@query(HARD)
 def hard_negatives(spark, d):
-    return training.hard_negatives(_split(spark, d)[0]).select("entity_id", "canonical", "hard_negative")
+    return _hard_negatives(distinct_catalog(spark, d))
 
 
-@query(f"""WITH {HOLDOUTS}, {NEGATIVES}, an AS (SELECT trn.* FROM trn LEFT JOIN ho USING (entity_id) WHERE name_ord > 0 AND (heldout_norm IS NULL OR norm <> heldout_norm) QUALIFY row_number() OVER (PARTITION BY trn.entity_id ORDER BY name_ord) <= 2)
-  SELECT name AS anchor, an.canonical AS positive, hard_negative, an.entity_id FROM an JOIN hn USING (entity_id) QUALIFY row_number() OVER (PARTITION BY norm, lower(an.canonical), lower(hard_negative) ORDER BY an.ent_ord, name_ord) = 1""")
-def training_triplets(spark, d):
-    train, _ = _split(spark, d)
+@query(whole(HARD))
+def hard_negatives_all(spark, d):
+    return _hard_negatives(catalog(spark, d))
+
+
+TRIPLETS = f"""WITH {HOLDOUTS}, {NEGATIVES}, an AS (SELECT trn.* FROM trn LEFT JOIN ho USING (entity_id) WHERE name_ord > 0 AND (heldout_norm IS NULL OR norm <> heldout_norm) QUALIFY row_number() OVER (PARTITION BY trn.entity_id ORDER BY name_ord) <= 2)
+  SELECT name AS anchor, an.canonical AS positive, hard_negative, an.entity_id FROM an JOIN hn USING (entity_id) QUALIFY row_number() OVER (PARTITION BY norm, lower(an.canonical), lower(hard_negative) ORDER BY an.ent_ord, name_ord) = 1"""
+
+
+def _training_triplets(entities: DataFrame) -> DataFrame:
+    train, _ = _split(entities)
     return training.training_triplets(train, training.alias_holdouts(train), max_pairs=2).select("anchor", "positive", "hard_negative", "entity_id")
 
 
-@query(f"""WITH {HOLDOUTS}, {_named_sql('ev', 'evn')} SELECT heldout AS query, entity_id AS target_entity_id, canonical AS target_name, 'alias' AS split FROM ho
-  UNION ALL SELECT name, entity_id, canonical, 'entity' FROM evn WHERE name_ord BETWEEN 1 AND 2""")
-def eval_rows(spark, d):
-    train, held = _split(spark, d)
+@query(TRIPLETS)
+def training_triplets(spark, d):
+    return _training_triplets(distinct_catalog(spark, d))
+
+
+@query(whole(TRIPLETS))
+def training_triplets_all(spark, d):
+    return _training_triplets(catalog(spark, d))
+
+
+EVALUATED = f"""WITH {HOLDOUTS}, {_named_sql('ev', 'evn')} SELECT heldout AS query, entity_id AS target_entity_id, canonical AS target_name, 'alias' AS split FROM ho
+  UNION ALL SELECT name, entity_id, canonical, 'entity' FROM evn WHERE name_ord BETWEEN 1 AND 2"""
+
+
+def _eval_rows(entities: DataFrame) -> DataFrame:
+    train, held = _split(entities)
     return training.evaluation_queries(train, held, training.alias_holdouts(train), max_queries=2)
 
 
+@query(EVALUATED)
+def eval_rows(spark, d):
+    return _eval_rows(distinct_catalog(spark, d))
+
+
+@query(whole(EVALUATED))
+def eval_rows_all(spark, d):
+    return _eval_rows(catalog(spark, d))
+
+
+def _recall(entities: DataFrame) -> DataFrame:
+    return cascade.recall_summary(cascade.recall_report(entities, cascade.build_index(entities, "char-ngram-sparse")))
+
+
 @query(f"""{ONE_NAMES} SELECT count(*) AS total_cases, count(*) AS top1_hits, 1.0::DOUBLE AS top1_accuracy, count(*) FILTER (k = 'alias') AS alias_cases, count(*) FILTER (k = 'former_name') AS former_name_cases
   FROM (SELECT unnest(aliases) AS x, 'alias' AS k FROM one UNION ALL SELECT unnest(former_names), 'former_name' FROM one)""")
 def recall_report_summary(spark, d):
-    entities = distinct_catalog(spark, d)
-    return cascade.recall_summary(cascade.recall_report(entities, cascade.build_index(entities, "char-ngram-sparse")))
+    return _recall(distinct_catalog(spark, d))
+
+
+@query(f"""{ALL_NAMES}, f AS (SELECT norm, min(ent_ord) AS top FROM nm GROUP BY norm), x AS (SELECT ent_ord, unnest(aliases) AS x, 'alias' AS k FROM ent UNION ALL SELECT ent_ord, unnest(former_names), 'former_name' FROM ent)
+  SELECT count(*) AS total_cases, count(*) FILTER (top = ent_ord) AS top1_hits, round(count(*) FILTER (top = ent_ord) / count(*), 4) AS top1_accuracy, count(*) FILTER (k = 'alias') AS alias_cases, count(*) FILTER (k = 'former_name') AS former_name_cases FROM x JOIN f ON lower(x) = norm""")
+def recall_report_summary_all(spark, d):
+    return _recall(catalog(spark, d))
 
 
 @query(f"{ALL_NAMES} SELECT (SELECT count(DISTINCT entity_id) FROM ent) AS entities, (SELECT count(*) FROM nm) AS name_vectors, (SELECT count(DISTINCT norm) FROM nm) AS alias_keys, 'char-ngram-sparse' AS backend")
