@@ -10,6 +10,11 @@ item must stand for one value in the document and the reverse, for at least
 ``consistency`` of the values.  So a question with other numbers and names is caught,
 and a text that merely has its shape is not.
 
+An item may stand in a document several times with other values.  So where all hits of a document
+together do not fit, each occurrence is judged by itself: hits are grouped by their
+diagonal (position in the document less that in the item), exactly and in overlapping bands of doubling width
+(insertions shift the diagonal) up to all of the document's diagonals, and one group that is covered and fits is enough.
+
 The benchmark's windows are broadcast up to ``BROADCAST_WINDOWS`` of them, beyond that both
 sides are shuffled by hash.  Only matching windows carry words.
 
@@ -86,23 +91,51 @@ def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, litera
     side = F.broadcast(bench) if size <= BROADCAST_WINDOWS else bench
     if size > BROADCAST_WINDOWS:  # then words travel; those of the window suffice
         df = df.withColumn("dwords", _slice(F.col("pos"), window)).drop("_words")
-        hits = df.join(side, "h").select("doc_id", "row", "item_id", "item", "n_windows", "ipos", "iwords", "dwords")
+        hits = df.join(side, "h").select("doc_id", "row", "item_id", "item", "n_windows", "ipos", "pos", "iwords", "dwords")
     else:
-        hits = df.join(side, "h").select("doc_id", "row", "item_id", "item", "n_windows", "ipos", "iwords", _slice(F.col("pos"), window).alias("dwords"))
+        hits = df.join(side, "h").select("doc_id", "row", "item_id", "item", "n_windows", "ipos", "pos", "iwords", _slice(F.col("pos"), window).alias("dwords"))
     hits = materialise(hits, "template-hits")
     pair = ["row", "item"]
-    found = hits.groupBy(*pair).agg(F.first("doc_id").alias("doc_id"), F.first("item_id").alias("item_id"), F.first("n_windows").alias("n_windows"), F.countDistinct("ipos").alias("n_matched"))
+    diagonal = F.col("pos") - F.col("ipos")
+    found = hits.groupBy(*pair).agg(F.first("doc_id").alias("doc_id"), F.first("item_id").alias("item_id"), F.first("n_windows").alias("n_windows"), F.countDistinct("ipos").alias("n_matched"), F.min(diagonal).alias("_lo"), F.max(diagonal).alias("_hi"))
     found = materialise(found.where(F.col("n_matched") >= coverage * F.col("n_windows")), "template-found")
-
+    fit = F.col("n_conflicts") <= (1 - consistency) * F.col("n_values")
+    names = ["doc_id", "item_id", "n_windows", "n_matched", "n_values", "n_conflicts", "row"]
+    whole = materialise(found.join(_fit(_slots(hits.join(found.select(*pair), pair, "left_semi"), pair, window), pair), pair, "left").na.fill(0, ["n_values", "n_conflicts"]), "template-whole")
+
+    left = whole.where(~fit & (F.col("_lo") < F.col("_hi")))
+    parts = hits.join(left.select(*pair, "_lo", "_hi"), pair).withColumn("group", F.explode(_bands(diagonal, F.col("_lo"), F.col("_hi"))))
+    parts = parts.select(*pair, "group", "n_windows", "ipos", "iwords", "dwords")
+    group = [*pair, "group"]
+    covered = parts.groupBy(*group).agg(F.first("n_windows").alias("n_windows"), F.countDistinct("ipos").alias("n_matched"))
+    covered = covered.where(F.col("n_matched") >= coverage * F.col("n_windows")).select(*group, "n_matched")
+    judged = covered.join(_fit(_slots(parts, group, window), group), group, "left").na.fill(0, ["n_values", "n_conflicts"])
+    best = judged.where(fit).groupBy(*pair).agg(F.min_by(F.struct("n_matched", "n_values", "n_conflicts"), F.struct(-F.col("n_matched"), "n_conflicts", "group")).alias("_b"))
+    single = left.select(*pair, "doc_id", "item_id", "n_windows").join(best, pair).select(*pair, "doc_id", "item_id", "n_windows", "_b.*")
+    return whole.where(fit).select(*names).unionByName(single.select(*names))
+
+
+def _bands(diagonal: Column, lo: Column, hi: Column) -> Column:
+    """Groups (width, shift, number) of a diagonal between ``lo`` and ``hi``: any range of half a width lies in one group of that width."""
+    top = F.ceil(F.log2((hi - lo + 1).cast("double"))).cast("int")
+    group = lambda k, shift: F.struct(k.alias("k"), F.lit(shift).alias("shift"), F.floor((diagonal - lo + shift * F.pow(F.lit(2.0), k - 1)) / F.pow(F.lit(2.0), k)).cast("long").alias("number"))
+    wide = F.transform(F.sequence(F.lit(1), top), lambda k: F.array(group(k, 0), group(k, 1)))
+    return F.concat(F.array(group(F.lit(0), 0)), F.flatten(wide))
+
+
+def _slots(hits: DataFrame, keys: list[str], window: int) -> DataFrame:
+    """Distinct (keys, kind, a, b): the item's value ``a`` and the document's ``b`` of each slot of the matching windows."""
     w, v = F.col("iwords"), F.col("dwords")
     plain = lambda x: F.lower(F.btrim(x, F.lit(PUNCTUATION)))
     slots = F.filter(F.transform(F.sequence(F.lit(1), F.lit(window)), lambda i: F.struct(canonical(F.get(w, i), F.get(w, i - 1)).alias("kind"), plain(F.get(w, i)).alias("a"), plain(F.get(v, i)).alias("b"))), lambda s: s["kind"].isin(*SLOTS))
-    values = hits.join(found.select(*pair), pair, "left_semi").select(*pair, F.explode(slots).alias("s")).select(*pair, "s.kind", "s.a", "s.b").distinct()
-    one = values.groupBy(*pair, "kind", "a").agg(F.count(F.lit(1)).alias("n"))
-    two = values.groupBy(*pair, "kind", "b").agg(F.count(F.lit(1)).alias("n"))
-    fit = one.select(*pair, "n").unionByName(two.select(*pair, "n")).groupBy(*pair).agg(F.count(F.lit(1)).alias("n_values"), F.count_if(F.col("n") > 1).alias("n_conflicts"))
-    out = found.join(fit, pair, "left").na.fill(0, ["n_values", "n_conflicts"])
-    return out.where(F.col("n_conflicts") <= (1 - consistency) * F.col("n_values")).select("doc_id", "item_id", "n_windows", "n_matched", "n_values", "n_conflicts", "row")
+    return hits.select(*keys, F.explode(slots).alias("s")).select(*keys, "s.kind", "s.a", "s.b").distinct()
+
+
+def _fit(values: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n_values, n_conflicts): values of either side, and those that stand for more than one of the other."""
+    one = values.groupBy(*keys, "kind", "a").agg(F.count(F.lit(1)).alias("n"))
+    two = values.groupBy(*keys, "kind", "b").agg(F.count(F.lit(1)).alias("n"))
+    return one.select(*keys, "n").unionByName(two.select(*keys, "n")).groupBy(*keys).agg(F.count(F.lit(1)).alias("n_values"), F.count_if(F.col("n") > 1).alias("n_conflicts"))
 
 
 def without_contaminated(docs: DataFrame, items: DataFrame, **limits) -> DataFrame:

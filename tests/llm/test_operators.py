@@ -238,6 +238,25 @@ def test_templates(spark, docs, nothing):
     assert template_decontamination.contaminated(docs, items.limit(0)).count() == 0
 
 
+def test_templates_judge_each_occurrence(spark):
+    item = "A train leaves Paris at 9 and travels 120 km to meet Anna at noon while 3 boxes of 5 kg each wait for Anna near the old station"
+    item += " and then a man called Peter walks 14 miles to the market of Lyon with 6 apples"
+    swap = {"Paris": "Rome", "120": "95", "Anna": "Maria", "9": "7", "3": "8", "5": "2", "Peter": "Karl", "14": "31", "Lyon": "Bonn", "6": "4"}
+    other = " ".join(swap.get(w, w) for w in item.split())
+    third = " ".join({"Paris": "Oslo", "120": "77", "Anna": "Ines", "9": "11", "3": "19", "5": "23", "Peter": "Ivan", "14": "41", "Lyon": "Kiel", "6": "13"}.get(w, w) for w in item.split())
+    longer = item.replace("to meet", "without any stop at all to meet")
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rng = random.Random(21)
+    gap = prose(rng, 700)
+    texts = [f"{item} {other}", f"{other} {prose(rng, 9)} {third} {gap} {item}", f"{gap} {longer} {gap} {other} {third}", f"{other} {longer}", " ".join(item.split()[:8] + other.split()[8:16]), gap]
+    found = {r["doc_id"]: r for r in template_decontamination.contaminated(frame(spark, [(i, t, "a") for i, t in enumerate(texts)]), items).collect()}
+    assert sorted(found) == [0, 1, 2, 3]
+    for r in found.values():
+        assert r["n_matched"] >= 0.5 * r["n_windows"] and r["n_conflicts"] <= 0.2 * r["n_values"]
+    kept = template_decontamination.without_contaminated(frame(spark, [(i, t, "a") for i, t in enumerate(texts)]), items)
+    assert sorted(r["doc_id"] for r in kept.collect()) == [4, 5]
+
+
 # --- token records ---------------------------------------------------------------------------------
 
 
