@@ -67,8 +67,8 @@ class Encoder:
 
     #: The pattern of the tokenizer kind that is encoded word by word.
     WORDWISE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-    #: ASCII and the Latin letters up to U+024F (without U+0130, whose lower case is two characters).
-    PLAIN = re.compile("[\t\n\r -~¡-įı-ɏ]*")
+    #: ASCII and the characters from U+00A1 to U+024F whose lower case is one character in this range (so U+0130 and, for example, U+018F are not).
+    PLAIN = re.compile("[\t\n\r -~%s]*" % "".join(c for c in map(chr, range(0xA1, 0x250)) if len(c.lower()) == 1 and c.lower() <= "ɏ"))
     LETTERS = "a-zªµºÀ-ÖØ-öø-ɏ"
     DIGITS = "0-9²³¹¼-¾"
     WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{DIGITS}]|[^\t\n\r {LETTERS}{DIGITS}]+")

@@ -299,6 +299,16 @@ def test_encoder_is_the_tokenizer():
     assert [x.tobytes() for x in (np.array(t.encode(s, add_special_tokens=False).ids, "<u2") for s in texts)] == [y for i in range(0, len(texts), 100) for y in e.encode(texts[i : i + 100])]
 
 
+def test_encoder_is_the_tokenizer_for_every_latin_letter():
+    from tokenizers import Tokenizer
+
+    path = tokenizer_file("word_bpe_49k.json")
+    t, e = Tokenizer.from_file(path), token_records.Encoder(path)
+    texts = [x for c in map(chr, (*range(0x09, 0x0E), *range(0x20, 0x250))) for x in (c, f"{c}li", f"Ba{c}", f"ab{c}Cd e{c} {c}1", f"{c}{c.lower()}'s{c.upper()}.")]
+    assert [x.tobytes() for x in (np.array(t.encode(s, add_special_tokens=False).ids, "<u2") for s in texts)] == e.encode(texts)
+    assert not e.PLAIN.fullmatch("\u018fli") and e.PLAIN.fullmatch("ÉCOLE Šárka")
+
+
 # --- WARC ------------------------------------------------------------------------------------------
 
 
