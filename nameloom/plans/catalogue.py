@@ -333,6 +333,11 @@ def latin_name_extract(spark, d):
     return _table(spark, d, "documents").where(is_ascii(F.col("text"))).select("doc_id", html.first_latin("text").alias("latin"))
 
 
+@query()
+def latin_name_extract_unicode(spark, d):
+    return _table(spark, d, "documents").select("doc_id", html.first_latin("text").alias("latin"))
+
+
 @query("""WITH c AS (SELECT page_id % 7 AS category, page_id // 7 AS page_no, length(html) % 3 AS n FROM pages), s AS (SELECT *, n = 0 AND lag(n) OVER (PARTITION BY category ORDER BY page_no) = 0 AS stop FROM c),
   e AS (SELECT *, coalesce(max(stop::INT) OVER (PARTITION BY category ORDER BY page_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS earlier FROM s) SELECT category, page_no, n FROM e WHERE earlier = 0""")
 def page_stop_rule(spark, d):
