@@ -56,11 +56,12 @@ CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-SECRET = re.compile(r"(?<![A-Za-z0-9_/+=-])(?=[A-Za-z_/+=-]*[0-9])(?=[0-9_/+=-]*[A-Za-z])[A-Za-z0-9_/+=-]{20,200}+(?![A-Za-z0-9_/+=-])")
+SECRET = re.compile(r"(?<![A-Za-z0-9_/+=-])(?=[A-Za-z_/+=-]*[0-9])(?=[0-9_/+=-]*[A-Za-z])[A-Za-z0-9_/+=-]{20,}+(?![A-Za-z0-9_/+=-])")
 SECRET_HINT = re.compile(r"[0-9][A-Za-z]|[A-Za-z][0-9]")
 ACCOUNT = re.compile(r"(?<![0-9+.])[0-9]{9,19}(?![0-9])")
 NAME = re.compile(rf"\b(?:{TITLES})\.? ([A-ZÀ-Þ][\w'-]{{1,30}}(?: [A-ZÀ-Þ][\w'-]{{1,30}}){{0,2}})")
-SPELLED = re.compile(r"\b[a-z0-9._-]{2,40} ?[\[(]?(?:at|@)[\])]? ?[a-z0-9-]{2,40} ?[\[(]?(?:dot)[\])]? ?[a-z]{2,10}\b")
+SPELLED = re.compile(r"\b[A-Za-z0-9._-]{2,40} ?[\[(]?(?:[Aa][Tt]|@)[\])]? ?[A-Za-z0-9-]{2,40} ?[\[(]?(?:[Dd][Oo][Tt])[\])]? ?[A-Za-z]{2,10}\b")
+SPELLED_HINT = re.compile("[Dd][Oo][Tt]")
 HEX = re.compile(r"[0-9a-fA-F]+\Z")
 
 
@@ -103,7 +104,7 @@ def added_candidates(text: str) -> list[tuple[str, int, int]]:
         out += [("name", m.start(1), m.end(1)) for m in NAME.finditer(text)]
     if SECRET_HINT.search(text):
         out += [("secret", m.start(), m.end()) for m in SECRET.finditer(text)]
-    if "dot" in text:
+    if SPELLED_HINT.search(text):
         out += [("spelled_email", m.start(), m.end()) for m in SPELLED.finditer(text)]
     return out
 

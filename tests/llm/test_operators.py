@@ -404,6 +404,14 @@ def test_base_spans_are_the_rules():
         assert pii_supervision.base_spans(text) == by_rules(text), text
 
 
+def test_long_secrets_and_spelled_out_capitals_are_candidates():
+    key = "".join(hashlib.sha1(str(i).encode()).hexdigest() for i in range(200))
+    for n in (20, 160, 200, 201, 240, 8000):
+        assert ("secret", 8, 8 + n) in pii_supervision.added_candidates(f"token = {key[:n]} end")
+    for said in ("John (AT) Example (DOT) Com", "john (at) example (dot) com", "JOHN [AT] EXAMPLE [DOT] ORG"):
+        assert ("spelled_email", 6, 6 + len(said)) in pii_supervision.added_candidates(f"Mail: {said}")
+
+
 def test_pii(spark, nothing):
     rng = random.Random(13)
     secrets = [f"token = \"{hashlib.sha1(str(i).encode()).hexdigest()}\"" for i in range(40)]
