@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import itertools
 import math
 import shutil
 import tempfile
@@ -128,19 +129,26 @@ def by_ids(df: DataFrame, ids: DataFrame, on: str, how: str) -> DataFrame:
 def connected_components(links: DataFrame, name: str = "components") -> DataFrame:
     """(v, label) for every end of ``links`` (a, b): label is the smallest end in its component.
 
-    Each round takes the smallest label among neighbours and then the label's own
-    label, so chains shorten geometrically.  Labels are written to the shared
-    folder after each round; only the count of changes comes to the driver.
+    Every link is kept as (larger end, smaller end), and alternating stars shorten the paths: first each
+    link's smaller end gives way to its own smallest neighbour, then the smaller ends of a vertex are linked
+    to the smallest of them.  The number of rounds grows with the logarithm of a component's size, whatever
+    the ids; rounds go on until one changes nothing.  Links are written to the
+    shared folder after each step; only the counts of changes come to the driver.  A hub is many rows of one side of a join
+    whose other side has one row per vertex, so adaptive execution can split it.
     """
-    both = materialise(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}-links")
-    labels = materialise(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("label")), f"{name}-0")
-    for turn in range(1, 200):
-        near = both.join(labels, both["b"] == labels["v"]).groupBy("a").agg(F.min("label").alias("m"))
-        nearer = labels.join(near, labels["v"] == near["a"], "left").select("v", F.col("label").alias("old"), F.least("label", F.coalesce("m", "label")).alias("label"))
-        jump = labels.select(F.col("v").alias("_v"), F.col("label").alias("_l"))
-        nearer = nearer.join(jump, nearer["label"] == jump["_v"], "left").select("v", "old", F.least("label", F.coalesce("_l", "label")).alias("label"))
-        step = materialise(nearer, f"{name}-{turn}")
-        labels = step.select("v", "label")
-        if step.where("label <> old").isEmpty():
+    ends = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    ends = materialise(ends, f"{name}-links")
+    alone, links = ends.where("a = b").select("a", "b"), ends.where("a > b")
+    parents = lambda e: e.groupBy(F.col("a").alias("_v")).agg(F.min("b").alias("_p"))
+    for turn in itertools.count():
+        near = links.join(parents(links), F.col("b") == F.col("_v"), "left").select("a", F.coalesce("_p", "b").alias("b"), (F.col("_p") < F.col("b")).alias("moved"))
+        near = materialise(near.groupBy("a", "b").agg(F.coalesce(F.bool_or("moved"), F.lit(False)).alias("moved")), f"{name}-near-{turn}")
+        many = near.groupBy("a").agg(F.min("b").alias("_p"), F.max("b").alias("_q"))
+        if near.where("moved").isEmpty() and many.where("_p < _q").isEmpty():
             break
-    return labels
+        stars = near.join(many.select(F.col("a").alias("_v"), "_p"), F.col("a") == F.col("_v")).select("a", "b", "_p")
+        pairs = stars.select(F.explode(F.array(F.struct("a", F.col("_p").alias("b")), F.struct(F.col("b").alias("a"), F.col("_p").alias("b")))).alias("e"))
+        links = materialise(pairs.select("e.a", "e.b").where("a > b").distinct(), f"{name}-star-{turn}")
+    found = links.select(F.col("a").alias("v"), F.col("b").alias("label"))
+    roots = links.select(F.col("b").alias("v"), F.col("b").alias("label")).union(alone.select(F.col("a").alias("v"), F.col("b").alias("label")))
+    return materialise(found.union(roots).groupBy("v").agg(F.min("label").alias("label")), f"{name}-labels")

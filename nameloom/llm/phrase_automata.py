@@ -1,38 +1,47 @@
-"""Substring dedup: automata over recurring phrases, then exact window removal.
+"""Substring dedup: sharded Aho-Corasick automata over recurring phrases, then exact window removal.
 
 1. Every window of ``window`` words contains a smallest hash among its phrases of
-   ``phrase`` words; equal windows have equal smallest phrases.  Each document
-   emits the distinct smallest phrases of its windows (about 4 of 100 positions).
-2. Phrases found in two documents or more are confirmed as recurring.  (Whole
-   texts equal to an earlier one are recognised by one hash more, need no windows.)
-3. Documents with recurring phrases are dealt out; each batch of them compiles an
-   Aho-Corasick automaton of just the recurring phrases routed to it (so the
-   automata are shards whose total size grows with the input, never with its
-   square) and streams its documents through, which locates every occurrence.
-   Words are letters of the automaton's alphabet; hits are checked by hash.
-4. The windows around occurrences whose smallest phrase recurs are hashed and
-   grouped: a window first seen in a smaller doc_id marks its words in the others.
+   ``phrase`` words; equal windows have equal smallest phrases.  One pass leaves, per document
+   with a window at all, the distinct smallest phrases of its windows (about 4 of 100
+   positions), a key of its whole text, and its words as letters (two of 6 bits
+   each, from alphabets of their own, so no node has more than 64 children and a match cannot begin inside a word).
+2. Phrases that two different texts emit are confirmed as recurring.  Rows whose whole text stands
+   under a smaller doc_id are copies and lose all their words at once.
+3. The recurring phrases are dealt into shards of about ``SHARD`` by hash; each becomes one Aho-Corasick automaton, compiled
+   once, written to the shared folder and named in a manifest of one row per shard.
+4. All documents are streamed through the automata of all shards, ``LOADED`` of them in a worker at a time.  An
+   occurrence is what an automaton reports; nothing else finds one.
+5. Windows whose smallest phrase is an occurrence are hashed and
+   grouped: a window first seen under a smaller doc_id marks its words in the others.
    Groups are aggregated before the shuffle, so a passage that a third of the
    documents hold is one row per task, not one list.
 
+Step 4 reads the letters (2 bytes a word, before compression) once per ``LOADED`` shards, so its work grows with documents times
+recurring phrases / (``SHARD`` * ``LOADED``): that is the method's price.
+
 Windows are compared by 64-bit hash.  Cases: null text is empty; texts under
 ``window`` words lose nothing; a null doc_id counts as greater than all others;
-rows with equal doc_ids do not remove each other's words; an empty table
+rows with equal doc_ids do not remove each other's words; very long texts are streamed like any other; an empty table
 gives an empty result; further columns are not looked at.
 """
 
 from __future__ import annotations
 
 import hashlib
+import pickle
+import uuid
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nameloom.llm.common import by_ids, materialise, n_words, words
+from nameloom.llm.common import by_ids, materialise, n_words, new_folder, words
 
 WINDOW, PHRASE = 50, 8
+#: Phrases of one automaton (about 650 bytes each in memory), automata a worker holds at a time, and passes over the documents in one job.
+SHARD, LOADED, PASSES = 100_000, 2, 32
 LAST = (1 << 63) - 1
 
 
@@ -50,6 +59,14 @@ def _smallest(phrases: np.ndarray, span: int) -> np.ndarray:
     return low
 
 
+def _letters(h: np.ndarray) -> np.ndarray:
+    """Two bytes per word hash: 0x40-0x7F, then 0x80-0xBF."""
+    out = np.empty(2 * len(h), dtype=np.uint8)
+    out[0::2] = (h & np.uint64(63)) | np.uint64(0x40)
+    out[1::2] = ((h >> np.uint64(20)) & np.uint64(63)) | np.uint64(0x80)
+    return out
+
+
 def _phrase_rows(window: int, phrase: int):
     from nameloom.llm.wordhash import hash_words, release, text_pieces, window_hashes
 
@@ -57,77 +74,135 @@ def _phrase_rows(window: int, phrase: int):
         for batch in batches:
             ids, rids = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("k", "r"))
             for lo, hi, texts in text_pieces(batch.column("text")):
-                found, docs, at, whole = [], [], [], []
+                at, whole, keys, letters = [], [], [], []
                 w = hash_words(texts)
                 for i in range(len(w)):
                     h = w.of(i)
                     if len(h) < window:
                         continue
-                    keys = np.unique(_smallest(window_hashes(h, phrase), window - phrase + 1))
-                    text_key = np.frombuffer(hashlib.blake2b(h.tobytes(), digest_size=8).digest(), dtype=np.uint64)
-                    found += [keys, text_key]
-                    docs.append(np.full(len(keys) + 1, ids[lo + i]))
-                    at.append(np.full(len(keys) + 1, rids[lo + i]))
-                    whole.append(np.arange(len(keys) + 1) == len(keys))
-                if found:
-                    yield pa.record_batch({"h": _signed(np.concatenate(found)), "k": np.concatenate(docs), "r": np.concatenate(at), "whole": np.concatenate(whole)})
+                    p = window_hashes(h, phrase)
+                    where = np.flatnonzero(np.isin(p, np.unique(_smallest(p, window - phrase + 1))))
+                    where = where[np.unique(p[where], return_index=True)[1]]
+                    said = _letters(h)
+                    raw = said.tobytes()
+                    keys.append([raw[2 * x : 2 * (x + phrase)] for x in where.tolist()])
+                    letters.append(raw)
+                    whole.append(int.from_bytes(hashlib.blake2b(h.tobytes(), digest_size=8).digest(), "little", signed=True))
+                    at.append(lo + i)
+                if at:
+                    yield pa.record_batch({"k": ids[at], "r": rids[at], "t": pa.array(whole, pa.int64()), "phrases": pa.array(keys, pa.list_(pa.binary())), "letters": pa.array(letters, pa.binary())})
         release()
 
     return rows
 
 
-def _letters(h: np.ndarray) -> str:
-    """One code point per word hash (never NUL or a surrogate)."""
-    v = (h % np.uint64(0x110000 - 0x801)).astype(np.uint32) + 1
-    v[v >= 0xD800] += 0x800
-    return v.astype("<u4").tobytes().decode("utf-32-le")
+def prepared(keyed: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
+    """(k, r, t, phrases, letters) of the rows of ``keyed`` (k, r, text) with ``window`` words or more."""
+    return keyed.mapInArrow(_phrase_rows(window, phrase), "k long, r long, t long, phrases array<binary>, letters binary")
 
 
-def _window_rows(window: int, phrase: int):
-    import ahocorasick
+def recurring_phrases(documents: DataFrame) -> DataFrame:
+    """(phrase) that two different texts hold, each once."""
+    said = documents.select("t", F.explode("phrases").alias("phrase"))
+    return said.groupBy("phrase").agg(F.min("t").alias("one"), F.max("t").alias("other")).where("one < other").select("phrase")
 
-    from nameloom.llm.wordhash import hash_words, release, text_pieces, window_hashes
 
-    span = window - phrase + 1
-
-    def occurrences(doc_words: list[np.ndarray], doc_phrases: list[np.ndarray], wanted: np.ndarray) -> list[np.ndarray]:
-        """Of each document, which phrase positions hold one of the ``wanted`` phrases."""
-        automaton = ahocorasick.Automaton()
-        left, patterns = set(wanted.tolist()), []
-        for h, p in zip(doc_words, doc_phrases):
-            if not left:
-                break
-            for at in np.flatnonzero(np.isin(p, wanted)).tolist():
-                if (key := int(p[at])) in left:
-                    left.discard(key)
-                    automaton.add_word(_letters(h[at : at + phrase]), len(patterns))
-                    patterns.append(key)
-        out = []
-        if not patterns:
-            return [np.zeros(len(p), dtype=bool) for p in doc_phrases]
+def _compile(folder: str):
+    def shard(key, table):
+        import ahocorasick
+
+        from nameloom.llm.token_records import open_store
+
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        for x in table.column("phrase").to_pylist():
+            automaton.add_word(x.decode("latin-1"))
         automaton.make_automaton()
-        for h, p in zip(doc_words, doc_phrases):
-            hit = np.zeros(len(p), dtype=bool)
-            ends = np.fromiter((end for end, _ in automaton.iter(_letters(h))), dtype=np.int64)
-            hit[ends - (phrase - 1)] = True
-            out.append(hit & np.isin(p, wanted))
-        return out
+        store, root = open_store(folder)
+        store.create_dir(root, recursive=True)
+        name = f"automaton-{key[0].as_py()}-{uuid.uuid4().hex}"  # an attempt that is lost leaves a file that no manifest names
+        data = pickle.dumps(automaton)
+        with store.open_output_stream(f"{root}/{name}") as f:
+            f.write(data)
+        return pa.table({"shard": pa.array([key[0].as_py()], pa.int64()), "path": [name], "patterns": pa.array([table.num_rows], pa.int64()), "bytes": pa.array([len(data)], pa.int64())})
+
+    return shard
+
+
+def compile_automata(phrases: DataFrame, folder: str, per_shard: int = SHARD) -> list:
+    """Manifest (shard, path, patterns, bytes) of the automata of ``phrases``, written to ``folder``."""
+    shards = -(-phrases.count() // per_shard)
+    if not shards:
+        return []
+    dealt = phrases.withColumn("shard", F.pmod(F.xxhash64("phrase"), F.lit(shards)))
+    return sorted(dealt.groupBy("shard").applyInArrow(_compile(folder), "shard long, path string, patterns long, bytes long").collect())  # one row per shard
+
+
+_loaded: dict[str, object] = {}
+
+
+def _automaton(folder: str, name: str):
+    """An automaton of the manifest; a worker keeps the last ``LOADED``."""
+    if name not in _loaded:
+        from nameloom.llm.token_records import open_store
+
+        while len(_loaded) >= LOADED:
+            del _loaded[next(iter(_loaded))]
+        store, root = open_store(folder)
+        with store.open_input_file(f"{root}/{name}") as f:
+            _loaded[name] = pickle.loads(f.read())
+    return _loaded[name]
+
+
+def _stream(folder: str, names: list[str], phrase: int):
+    def rows(batches):
+        for batch in batches:
+            ids = batch.column("r").to_pylist()
+            for name in names:
+                automaton, found, at = _automaton(folder, name), [], []
+                for r, letters in zip(ids, batch.column("letters")):
+                    ends = np.fromiter((end for end, _ in automaton.iter(letters.as_buffer().to_pybytes().decode("latin-1"))), dtype=np.int32)
+                    if len(ends):
+                        found.append(r)
+                        at.append((ends + 1) // 2 - phrase)
+                if found:
+                    yield pa.record_batch({"r": pa.array(found, pa.int64()), "shard": [name] * len(found), "at": pa.array(at, pa.list_(pa.int32()))})
+
+    return rows
+
+
+def occurrences(documents: DataFrame, folder: str, manifest: list, phrase: int = PHRASE) -> DataFrame:
+    """(r, at): word positions of the documents (r, letters) where any automaton of ``manifest`` reports a phrase."""
+    names = [m["path"] for m in manifest]
+    groups = [names[i : i + LOADED] for i in range(0, len(names), LOADED)]
+    schema = "r long, shard string, at array<int>"
+    read = documents.select("r", "letters")
+    rounds = []
+    for i in range(0, len(groups), PASSES):
+        passes = [read.mapInArrow(_stream(folder, g, phrase), schema) for g in groups[i : i + PASSES]]
+        rounds.append(materialise(reduce(DataFrame.unionByName, passes), "occurrences"))
+    found = reduce(DataFrame.unionByName, rounds) if rounds else documents.sparkSession.createDataFrame([], schema)
+    once = found.groupBy("r", "shard").agg(F.first("at").alias("at"))  # repeated rows have the same occurrences
+    return once.groupBy("r").agg(F.flatten(F.collect_list("at")).alias("at"))
+
+
+def _window_rows(window: int, phrase: int):
+    from nameloom.llm.wordhash import hash_words, release, text_pieces, window_hashes
+
+    span, never = window - phrase + 1, np.uint64((1 << 64) - 1)
 
     def rows(batches):
         for batch in batches:
             ids, rids = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("k", "r"))
-            keys = batch.column("phrases")
-            for lo, hi, texts in text_pieces(batch.column("text"), 4 << 20):
-                w = hash_words(texts)
-                doc_words = [w.of(i) for i in range(len(w))]
-                doc_phrases = [window_hashes(h, phrase) for h in doc_words]
-                wanted = np.unique(keys.slice(lo, hi - lo).flatten().to_numpy(zero_copy_only=False).view(np.uint64))
+            hits = batch.column("at")
+            for lo, hi, texts in text_pieces(batch.column("text")):
                 found, docs, at = [], [], []
-                for i, (h, p, hit) in enumerate(zip(doc_words, doc_phrases, occurrences(doc_words, doc_phrases, wanted))):
-                    if len(h) < window or not hit.any():
-                        continue
-                    candidate = np.isin(_smallest(p, span), p[hit])
-                    own = np.unique(window_hashes(h, window)[candidate])
+                w = hash_words(texts)
+                for i in range(len(w)):
+                    p = window_hashes(w.of(i), phrase)
+                    heard = np.full(len(p), never)
+                    where = hits[lo + i].values.to_numpy()
+                    heard[where] = p[where]
+                    own = np.unique(window_hashes(w.of(i), window)[_smallest(heard, span) == _smallest(p, span)])
                     found.append(own)
                     docs.append(np.full(len(own), ids[lo + i]))
                     at.append(np.full(len(own), rids[lo + i]))
@@ -168,28 +243,30 @@ def _removal_rows(window: int):
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, kept_text of every row of ``docs``."""
+    spark = docs.sparkSession
     keyed = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("k"), "text")
     keyed = keyed.withColumn("r", F.xxhash64("k", F.coalesce("text", F.lit(""))))  # rows with one doc_id may differ in text
-    phrases = materialise(keyed.select("k", "r", "text").mapInArrow(_phrase_rows(window, phrase), "h long, k long, r long, whole boolean"), "phrases")
-    recurring = phrases.groupBy("h", "whole").agg(F.min("k").alias("first"), F.max("k").alias("last")).where("first < last")
-    hits = phrases.join(recurring, ["h", "whole"]).groupBy("r").agg(
-        F.collect_set(F.when(~F.col("whole"), F.col("h"))).alias("phrases"),
-        F.bool_or(F.col("whole") & (F.col("first") < F.col("k"))).alias("copy"),
-    )
-    hits = materialise(hits, "phrase-hits")
-
-    plain = by_ids(keyed, hits.select("r"), "r", "left_anti")
-    touched = by_ids(keyed, hits.select("r"), "r", "left_semi").join(hits, "r")
+    documents = materialise(prepared(keyed.select("k", "r", "text"), window, phrase), "phrase-documents")
+    firsts = documents.groupBy("t").agg(F.min("k").alias("first"), F.max("k").alias("last")).where("first < last").drop("last")
+    copies = materialise(documents.select("t", "k", "r").join(firsts, "t").where("first < k").select("r").distinct(), "phrase-copies")
+
+    phrases = materialise(recurring_phrases(documents), "recurring-phrases")
+    folder = new_folder(spark, "automata")
+    manifest = compile_automata(phrases, folder)
+    hits = materialise(occurrences(by_ids(documents, copies, "r", "left_anti"), folder, manifest, phrase), "phrase-hits")
+
+    touched = by_ids(keyed, hits.select("r"), "r", "left_semi")
+    plain = by_ids(by_ids(keyed, hits.select("r"), "r", "left_anti"), copies, "r", "left_anti")
     kept = F.array_join(words(F.col("text")), " ")
     untouched = plain.select("doc_id", n_words(F.col("text")).alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.sha2(kept, 256).alias("kept_sha256"), kept.alias("kept_text"))
 
-    windows = touched.where("not copy and size(phrases) > 0").select("k", "r", "text", "phrases")
+    windows = touched.join(hits, "r").select("k", "r", "text", "at")
     windows = materialise(windows.mapInArrow(_window_rows(window, phrase), "w long, k long, r long"), "windows")
     first = windows.groupBy("w").agg(F.min("k").alias("first"), F.max("k").alias("last")).where("first < last").drop("last")
     marked = windows.join(first, "w").where("first < k").groupBy("r").agg(F.collect_set("w").alias("marked"))
-    originals = touched.where("not copy").select("doc_id", "r", "text").join(marked, "r", "left").select("doc_id", "text", "marked")
+    originals = touched.select("doc_id", "r", "text").join(marked, "r", "left").select("doc_id", "text", "marked")
     cut = originals.mapInArrow(_removal_rows(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
-    copies = touched.where("copy").select("doc_id", n_words(F.col("text")).alias("n_words"))
+    gone = by_ids(keyed, copies, "r", "left_semi").select("doc_id", n_words(F.col("text")).alias("n_words"))
     empty = F.lit("").cast("string")
-    copies = copies.select("doc_id", "n_words", F.col("n_words").alias("n_removed"), F.sha2(empty, 256).alias("kept_sha256"), empty.alias("kept_text"))
-    return untouched.unionByName(cut).unionByName(copies)
+    gone = gone.select("doc_id", "n_words", F.col("n_words").alias("n_removed"), F.sha2(empty, 256).alias("kept_sha256"), empty.alias("kept_text"))
+    return untouched.unionByName(cut).unionByName(gone)

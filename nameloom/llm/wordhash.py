@@ -73,6 +73,16 @@ class Words:
         return [self.blob[s:e] for s, e in zip(self.starts[lo:hi].tolist(), self.ends[lo:hi].tolist())]
 
 
+def _long_word(values: np.ndarray, data: np.ndarray) -> np.uint64:
+    """The polynomial of one word, piece by piece: a piece at ``i`` counts base**i times."""
+    power, _ = _power_tables(_CHUNK)
+    total = 0
+    for i in range(0, len(data), _CHUNK):
+        piece = data[i : i + _CHUNK]
+        total += int(np.sum(values[piece] * power[: len(piece)], dtype=np.uint64)) * pow(int(_BASE), i, 1 << 64)
+    return np.uint64(total % (1 << 64))
+
+
 def hash_words(texts, fold_ascii: bool = False) -> Words:
     """``Words`` of ``texts`` (None counts as empty)."""
     raw = [b"" if t is None else t.encode("utf-8", "surrogatepass") if isinstance(t, str) else bytes(t) for t in texts]
@@ -86,6 +96,10 @@ def hash_words(texts, fold_ascii: bool = False) -> Words:
     while lo < len(starts):  # in pieces that begin at a word, so that the tables of powers stay short
         hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + _CHUNK, side="right")))
         at, to = int(starts[lo]), int(ends[hi - 1])
+        if to - at > _CHUNK:  # one word longer than a piece
+            out[lo] = _long_word(values, data[at:to])
+            lo = hi
+            continue
         power, inverse = _power_tables(to - at + 1)
         sums = np.zeros(to - at + 1, dtype=np.uint64)
         np.cumsum(values[data[at:to]] * power[: to - at], out=sums[1:])
@@ -141,7 +155,11 @@ def window_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
         for j, f in enumerate(_window_factors(n)):
             total += hashes[j : j + count] * f
         return mix(total)
-    power, inverse = _power_tables(len(hashes) + 1)
-    sums = np.zeros(len(hashes) + 1, dtype=np.uint64)
-    np.cumsum(hashes * power[: len(hashes)], out=sums[1:])
-    return mix((sums[n:] - sums[:-n]) * inverse[:count])
+    out = np.empty(count, dtype=np.uint64)
+    for lo in range(0, count, _CHUNK):  # a window's value does not depend on where its piece begins
+        part = hashes[lo : min(count, lo + _CHUNK) + n - 1]
+        power, inverse = _power_tables(len(part) + 1)
+        sums = np.zeros(len(part) + 1, dtype=np.uint64)
+        np.cumsum(part * power[: len(part)], out=sums[1:])
+        out[lo : lo + len(part) - n + 1] = (sums[n:] - sums[:-n]) * inverse[: len(part) - n + 1]
+    return mix(out)
