@@ -1,21 +1,21 @@
 """Personal data by weak supervision: labelers vote, EM weighs them, a classifier decides.
 
 1. One pass over the whole texts finds the base spans (fixed rules; they always stay) and
-   further candidates: secrets (long random tokens), digit strings, titled names and
-   spelled-out addresses.
+   further candidates: secrets (long random tokens), digit strings, names (after a title, or a
+   listed given name and a capitalised word) and spelled-out addresses.
 2. Every candidate gets the votes (for, against, none) of regex, gazetteer and context
-   labelers, and a coarse shape.  All candidates of the corpus are counted by
-   (kind, votes, shape): at most ``kinds * 3**labelers * shapes`` counts whatever
-   the corpus, so they fit on the driver while using every candidate.
-3. Expectation-maximisation over those counts estimates how reliable each labeler
+   labelers, and its shape: classes of length, digits, case, neighbouring characters and context words.
+3. Expectation-maximisation over the counts of all candidates by (kind, votes), at most
+   ``kinds * 3**labelers`` whatever the corpus, estimates how reliable each labeler
    is and the probability of each vote pattern (naive Bayes, one latent class per
    candidate, kinds with priors of their own).
-4. A logistic classifier is fitted to those probabilities, weighted by the counts, over
-   kind, votes and shape.  Candidates whose pattern it accepts are added, unless they
-   overlap a base span.
+4. A logistic classifier of spans is fitted to those probabilities over kind, votes, shape and kind with shape, so
+   a span whose text or surroundings look like those of rejected ones goes in spite of its votes, and the reverse.
+   It is fitted to the ``fit_patterns`` most frequent (kind, votes, shape), weighted by count, and scores every
+   candidate.  Those it accepts are added, unless they overlap a base span.
 
 Offsets are code points, end exclusive.  Cases: null text is empty; rows with equal or null
-doc_ids are rows of their own; no candidate at all leaves only base spans; an empty
+doc_ids are rows of their own; time is linear in a text's length (n log n in its spans); no candidate at all leaves only base spans; an empty
 table gives an empty result; further columns are not looked at.
 """
 
@@ -24,6 +24,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -48,7 +49,10 @@ NEAR = {
     "name": "name mr mrs ms dr dear regards signed von sincerely",
     "secret": "token secret password passwd key apikey auth bearer credential",
 }
+NEAR_WORDS = {k: frozenset(v.split()) for k, v in NEAR.items()}
 AGAINST = frozenset("version license isbn issn doi chapter page section figure table rfc build release vol no".split())
+GIVEN = frozenset("Adam Alan Alice Alison Amanda Amy Andrea Andrew Angela Anita Anna Anne Anthony Antonio Barbara Benjamin Bernard Bill Bob Brian Carl Carlos Carol Caroline Catherine Charles Charlotte Chris Christian Christine Christopher Claire Claudia Daniel David Deborah Dennis Diana Donald Dorothy Edward Elena Elizabeth Emily Emma Eric Eva Frank Fred Gary George Hans Helen Henry Ian Ines Irene Isabel Jack Jacob James Jane Janet Jason Jean Jennifer Jessica Jim Joan Joe Johann John Jonathan Jose Joseph Juan Judith Julia Julie Karen Karl Kate Katherine Kenneth Kevin Kim Klaus Larry Laura Linda Lisa Louis Lucas Lucy Luis Margaret Maria Marie Mark Martin Mary Matthew Michael Michelle Miguel Monica Nancy Nicholas Nicole Olga Oliver Oscar Pamela Patricia Patrick Paul Paula Pedro Peter Philip Rachel Ralph Rebecca Richard Robert Roger Ronald Rosa Ruth Samuel Sandra Sarah Scott Sharon Simon Sofia Sophie Stefan Stephen Steven Susan Thomas Timothy Tom Victor Victoria Walter Wendy William".split())
+NOT_NAMES = frozenset("January February March April May June July August September October November December Monday Tuesday Wednesday Thursday Friday Saturday Sunday President Minister Chairman Speaker Director Secretary Judge Justice Street Road Avenue University College School Church Hospital Airport Station River Lake Island Mountain County State City Company Corporation Inc Ltd Museum Park Bridge Hall House Award Prize Cup".split())
 TITLES = r"Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Mlle|Sr|Sra|Don|Doña"
 
 IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
@@ -59,8 +63,10 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 SECRET = re.compile(r"(?<![A-Za-z0-9_/+=-])(?=[A-Za-z_/+=-]*[0-9])(?=[0-9_/+=-]*[A-Za-z])[A-Za-z0-9_/+=-]{20,}+(?![A-Za-z0-9_/+=-])")
 SECRET_HINT = re.compile(r"[0-9][A-Za-z]|[A-Za-z][0-9]")
 ACCOUNT = re.compile(r"(?<![0-9+.])[0-9]{9,19}(?![0-9])")
-NAME = re.compile(rf"\b(?:{TITLES})\.? ([A-ZÀ-Þ][\w'-]{{1,30}}(?: [A-ZÀ-Þ][\w'-]{{1,30}}){{0,2}})")
-SPELLED = re.compile(r"\b[A-Za-z0-9._-]{2,40} ?[\[(]?(?:[Aa][Tt]|@)[\])]? ?[A-Za-z0-9-]{2,40} ?[\[(]?(?:[Dd][Oo][Tt])[\])]? ?[A-Za-z]{2,10}\b")
+NAME = re.compile(rf"\b(?:{TITLES})\.? ([A-ZÀ-Þ][\w'-]++(?: [A-ZÀ-Þ][\w'-]++){{0,2}})")
+GIVEN_NAME = re.compile(r"(?<![\w'-])([A-Z][a-z]++)(?: [A-Z]\.)?(?: [A-ZÀ-Þ][\w'-]++){1,2}")
+TITLED = re.compile(rf"\b(?:{TITLES})\.? \Z")
+SPELLED = re.compile(r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]{2,}+ ?[\[(]?(?:[Aa][Tt]|@)[\])]? ?[A-Za-z0-9-]{2,}+ ?[\[(]?(?:[Dd][Oo][Tt])[\])]? ?[A-Za-z]{2,}+\b")
 SPELLED_HINT = re.compile("[Dd][Oo][Tt]")
 HEX = re.compile(r"[0-9a-fA-F]+\Z")
 
@@ -100,8 +106,9 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 def added_candidates(text: str) -> list[tuple[str, int, int]]:
     out = [("account", m.start(), m.end()) for m in ACCOUNT.finditer(text)]
-    if any(t in text for t in TITLES.split("|")):
-        out += [("name", m.start(1), m.end(1)) for m in NAME.finditer(text)]
+    titled = [m.span(1) for m in NAME.finditer(text)] if any(t in text for t in TITLES.split("|")) else []
+    given = [m.span() for m in GIVEN_NAME.finditer(text) if m.group(1) in GIVEN]
+    out += [("name", *x) for x in titled] + [("name", *x) for x in apart(given, titled)]
     if SECRET_HINT.search(text):
         out += [("secret", m.start(), m.end()) for m in SECRET.finditer(text)]
     if SPELLED_HINT.search(text):
@@ -109,6 +116,23 @@ def added_candidates(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def apart(spans: list, taken: list) -> list:
+    """The ``spans`` (..., start, end) that overlap none of ``taken`` (..., start, end)."""
+    merged: list[list[int]] = []
+    for a, b in sorted(x[-2:] for x in taken):
+        if merged and a <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], b)
+        else:
+            merged.append([a, b])
+    starts = [a for a, _ in merged]
+    out = []
+    for x in spans:
+        i = bisect_left(starts, x[-1]) - 1  # the last one that starts before this span ends
+        if i < 0 or merged[i][1] <= x[-2]:
+            out.append(x)
+    return out
+
+
 def _variety(s: str) -> float:
     """Entropy of the characters in bits."""
     counts = [s.count(c) for c in set(s)]
@@ -127,6 +151,8 @@ def _form(kind: str, s: str) -> int:
         return 1 if HEX.match(s) and len(s) in (32, 40, 64) else 0 if re.search("[A-Z]", s) and re.search("[a-z]", s) else -1
     if kind == "account":
         return -1 if len(set(s)) <= 2 else 0
+    if kind == "name":
+        return -1 if any(len(w) > 1 and w.isupper() for w in s.split()) else 0
     return 1
 
 
@@ -152,45 +178,68 @@ def _listed(kind: str, s: str, before: str) -> int:
         return 1 if s[1] != "0" else -1
     if kind == "secret":
         return 1 if re.search(r"(?i)(token|secret|passw|key|auth|bearer)\W{0,6}\Z", before) else -1 if before.endswith("/") else 0
+    if kind == "name":
+        return -1 if NOT_NAMES & set(s.split()) else 1 if s.split()[0] in GIVEN or TITLED.search(before) else 0
     return 0
 
 
+def _shape(text: str, start: int, end: int, n_near: int) -> str:
+    """Classes of the span and its surroundings, a digit each: length, digits, case, character before, character after, context words."""
+    span = text[start:end]
+    digits, letters = sum(c.isdigit() for c in span), sum(c.isalpha() for c in span)
+    case = 0 if not letters else 1 if span.islower() else 3 if span.isupper() else 2
+    left, right = text[max(0, start - 1) : start], text[end : end + 1]
+    side = lambda c: 0 if not c.strip() else 2 if c.isalnum() or c in "_/\\#" else 1
+    share = 0 if not digits else 2 if digits + letters == digits else 1
+    return f"{min(4, (end - start) // 8)}{share}{case}{side(left)}{side(right)}{min(2, n_near)}"
+
+
+#: Number of classes of each digit of a shape.
+CLASSES = (5, 3, 4, 3, 3, 3)
+
+
 def votes(text: str, kind: str, start: int, end: int, others: list[int]) -> str:
-    """One letter per labeler: f (for), a (against) or n (no vote); then the shape."""
+    """Kind; one letter per labeler: f (for), a (against) or n (no vote); shape.  ``others``: sorted starts of the base spans."""
     span, before = text[start:end], text[max(0, start - 60) : start]
     near = re.findall(r"[^\W\d_]+", before.lower())[-6:]
+    said = len(NEAR_WORDS[kind] & set(near))
     spread = _variety(span)
-    gap = min((abs(start - o) for o in others if o != start), default=10**9)
+    i, j = bisect_left(others, start) - 1, bisect_right(others, start)
+    gap = min(start - others[i] if i >= 0 else 10**9, others[j] - start if j < len(others) else 10**9)
     ballots = (
         _form(kind, span),
         _check(kind, span),
         _listed(kind, span, before),
-        1 if set(NEAR[kind].split()) & set(near) else 0,
+        1 if said else 0,
         -1 if AGAINST & set(near[-3:]) else 0,
-        1 if spread >= 2.5 else -1 if spread < 1.5 else 0,
+        0 if kind == "name" else 1 if spread >= 2.5 else -1 if spread < 1.5 else 0,
         1 if gap < 200 else 0,
         -1 if before[-1:] in ("/", "#", "_", "\\") else 1 if before[-1:] in ("", " ", "\n", ":", "(", "<", '"', "'") else 0,
     )
-    return kind + ":" + "".join("anf"[b + 1] for b in ballots) + ":" + str(min(4, (end - start) // 8))
+    return kind + ":" + "".join("anf"[b + 1] for b in ballots) + ":" + _shape(text, start, end, said)
+
+
+SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("pattern", pa.string()), ("base", pa.bool_())])
 
 
 def _scan(batches):
+    from nameloom.llm.wordhash import release, text_pieces
+
+    kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.list_(SPAN)]
     for batch in batches:
-        rows: list[tuple] = []
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-            text = text or ""
-            base = base_spans(text) if re.search("[0-9@]", text) else []
-            taken = [(a, b) for _, a, b in base]
-            more = [c for c in added_candidates(text) if not any(c[1] < b and a < c[2] for a, b in taken)]
-            starts = [s for _, s, _ in base]
-            listed = ",".join(f"{k}:{a}:{b}" for k, a, b in base)
-            found = [{"kind": k, "start": a, "end": b, "pattern": votes(text, k, a, b, starts), "base": i < len(base)} for i, (k, a, b) in enumerate(base + more)]
-            rows.append((doc_id, *(sum(k == x for k, _, _ in base) for x in BASE), hashlib.sha256(listed.encode()).hexdigest(), listed, found))
-        for at in range(0, len(rows), 2_000):
-            cols = list(zip(*rows[at : at + 2_000]))
-            span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("pattern", pa.string()), ("base", pa.bool_())])
-            kinds = [pa.int64()] * 5 + [pa.string()] * 2 + [pa.list_(span)]
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds)], names=["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "base_spans", "found"])
+        for lo, hi, texts in text_pieces(batch.column("text")):
+            rows: list[tuple] = []
+            for text in texts:
+                text = text or ""
+                base = base_spans(text) if re.search("[0-9@]", text) else []
+                more = apart(added_candidates(text), base)
+                starts = sorted(s for _, s, _ in base)
+                listed = ",".join(f"{k}:{a}:{b}" for k, a, b in base)
+                found = [{"kind": k, "start": a, "end": b, "pattern": votes(text, k, a, b, starts), "base": i < len(base)} for i, (k, a, b) in enumerate(base + more)]
+                rows.append((*(sum(k == x for k, _, _ in base) for x in BASE), hashlib.sha256(listed.encode()).hexdigest(), listed, found))
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows), kinds)]
+            yield pa.record_batch([batch.column("doc_id").slice(lo, hi - lo), *columns], names=["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "base_spans", "found"])
+    release()
 
 
 SCAN = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base_spans string, found array<struct<kind: string, start: bigint, end: bigint, pattern: string, base: boolean>>"
@@ -198,7 +247,7 @@ SCAN = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sh
 
 def reliabilities(patterns: list[tuple[str, int]], rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
     """EM over (pattern, count): P(vote | class) as (labeler, class, vote) and P(personal) of each pattern."""
-    kinds = [p.split(":")[0] for p, _ in patterns]
+    kinds = [p.split(":")[0] for p, _ in patterns]  # a pattern's shape, if it has one, is not looked at
     kind = np.array([KINDS.index(k) for k in kinds])
     ballot = np.array([["anf".index(v) for v in p.split(":")[1]] for p, _ in patterns])
     n = np.array([c for _, c in patterns], dtype=float)
@@ -218,13 +267,18 @@ def reliabilities(patterns: list[tuple[str, int]], rounds: int = 50) -> tuple[np
 
 
 def features(pattern: str) -> np.ndarray:
+    """Kind, votes, shape, and shape within the kind."""
     kind, ballot, shape = pattern.split(":")
-    x = np.zeros(1 + len(KINDS) + 2 * len(ballot) + 5)
-    x[0] = x[1 + KINDS.index(kind)] = 1
+    k, bits = KINDS.index(kind), sum(CLASSES)
+    x = np.zeros(1 + len(KINDS) + 2 * len(ballot) + (1 + len(KINDS)) * bits)
+    x[0] = x[1 + k] = 1
     for j, v in enumerate(ballot):
         if v != "n":
             x[1 + len(KINDS) + 2 * j + (v == "f")] = 1
-    x[1 + len(KINDS) + 2 * len(ballot) + int(shape)] = 1
+    at = 1 + len(KINDS) + 2 * len(ballot)
+    for c, size in zip(shape, CLASSES):
+        x[at + int(c)] = x[at + (1 + k) * bits + int(c)] = 1
+        at += size
     return x
 
 
@@ -242,18 +296,46 @@ def fit_classifier(patterns: list[tuple[str, int]], belief: np.ndarray, ridge: f
     return w
 
 
-def find_pii(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
+#: Up to so many of the most frequent patterns the classifier is fitted to.
+FIT_PATTERNS = 20_000
+ADD = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base_spans string, found array<struct<kind: string, start: bigint, end: bigint, pattern: string, base: boolean>>, added array<struct<kind: string, start: bigint, end: bigint>>, spans string"
+
+
+def _add(weights: np.ndarray, threshold: float):
+    """Score every candidate; ``added`` are the accepted ones, ``spans`` the base spans and these."""
+    known: dict[str, bool] = {}
+
+    def good(pattern: str) -> bool:
+        if pattern not in known:
+            if len(known) >= 100_000:
+                known.clear()
+            known[pattern] = 1 / (1 + math.exp(-float(np.clip(features(pattern) @ weights, -30, 30)))) >= threshold
+        return known[pattern]
+
+    def rows(batches):
+        kept = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+        for batch in batches:
+            added, spans = [], []
+            for listed, found in zip(batch.column("base_spans").to_pylist(), batch.column("found")):
+                more = sorted((s["kind"], s["start"], s["end"]) for s in found.as_py() if not s["base"] and good(s["pattern"]))
+                added.append([dict(zip(("kind", "start", "end"), s)) for s in more])
+                spans.append(",".join([listed] * bool(listed) + [f"{k}:{a}:{b}" for k, a, b in more]))
+            yield pa.record_batch([*batch.columns, pa.array(added, kept), pa.array(spans, pa.string())], names=[*batch.schema.names, "added", "spans"])
+
+    return rows
+
+
+def find_pii(docs: DataFrame, threshold: float = 0.5, fit_patterns: int = FIT_PATTERNS) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, base_spans, found, added, spans of every row."""
-    scanned = materialise(docs.select("doc_id", "text").mapInArrow(_scan, SCAN), "pii-scan")
+    scanned = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scan, SCAN), "pii-scan")
     counts = scanned.select(F.explode("found.pattern").alias("pattern")).groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
-    patterns = sorted((r["pattern"], r["n"]) for r in counts.collect())  # bounded: kinds * 3**8 * 5
-    good: list[str] = []
-    if patterns:
-        _, belief = reliabilities(patterns)
-        w = fit_classifier(patterns, belief)
-        good = [p for p, _ in patterns if 1 / (1 + math.exp(-float(features(p) @ w))) >= threshold]
-    accepted = F.array(*[F.lit(p) for p in good]) if good else F.array().cast("array<string>")
-    added = F.array_sort(F.transform(F.filter("found", lambda s: ~s["base"] & F.array_contains(accepted, s["pattern"])), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))))
-    out = scanned.withColumn("added", added)
-    listed = F.array_join(F.transform("added", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
-    return out.withColumn("spans", F.concat_ws(",", F.when(F.col("base_spans") != "", F.col("base_spans")), F.when(F.size("added") > 0, listed)))
+    counts = materialise(counts, "pii-patterns")
+    ballots = counts.groupBy(F.substring_index("pattern", ":", 2).alias("ballot")).agg(F.sum("n").alias("n"))
+    ballots = sorted((r["ballot"], r["n"]) for r in ballots.collect())  # bounded: kinds * 3**8
+    if not ballots:
+        return scanned.withColumns({"added": F.array().cast("array<struct<kind: string, start: bigint, end: bigint>>"), "spans": F.col("base_spans")})
+    _, belief = reliabilities(ballots)
+    believed = dict(zip((b for b, _ in ballots), belief))
+    patterns = [(r["pattern"], r["n"]) for r in counts.orderBy(F.col("n").desc(), "pattern").limit(fit_patterns).collect()]
+    weights = fit_classifier(patterns, np.array([believed[p.rpartition(":")[0]] for p, _ in patterns]))
+    return scanned.mapInArrow(_add(weights, threshold), ADD)

@@ -125,6 +125,44 @@ def test_phrase_automata_is_brute_force(docs, corpus, nothing):
     assert phrase_automata.remove_repeats(nothing).count() == 0
 
 
+def test_what_no_automaton_holds_is_not_found(spark, docs, corpus, monkeypatch):
+    whole = Counter(map(tuple, phrase_automata.remove_repeats(docs).collect()))
+    several, found = [], phrase_automata.compile_automata
+    monkeypatch.setattr(phrase_automata, "compile_automata", lambda phrases, folder: several.extend(found(phrases, folder, 5)) or several)
+    assert Counter(map(tuple, phrase_automata.remove_repeats(docs).collect())) == whole and len(several) > 2 * phrase_automata.LOADED
+    monkeypatch.setattr(phrase_automata, "compile_automata", lambda phrases, folder: found(phrases.limit(0), folder))
+    words_of = {r[0]: len(WORD.findall(r[1] or "")) for r in corpus}
+    less = phrase_automata.remove_repeats(docs).collect()
+    assert sum(r["n_removed"] for r in less) < sum(n * x[2] for x, n in whole.items())
+    assert all(r["n_removed"] in (0, r["n_words"]) for r in less) and words_of[100] > 0  # whole copies still go
+
+    bad = spark.createDataFrame([(bytearray(b"A\x80" * 8),)], "phrase binary")
+    monkeypatch.setattr(phrase_automata, "compile_automata", lambda phrases, folder: found(bad, folder))
+    assert Counter(map(tuple, phrase_automata.remove_repeats(docs).collect())) == Counter(map(tuple, less))
+
+
+def test_words_of_any_length_have_one_hash(monkeypatch):
+    from nameloom.llm import wordhash
+
+    rng = random.Random(31)
+    texts = [f"{'x' * 700} {prose(rng, 90)} {'é' * 300}", "y" * 999]
+    whole = wordhash.hash_words(texts)
+    windows = wordhash.window_hashes(whole.of(0), 20)
+    monkeypatch.setattr(wordhash, "_CHUNK", 16)
+    pieces = wordhash.hash_words(texts)
+    assert (pieces.hashes == whole.hashes).all() and (wordhash.window_hashes(pieces.of(0), 20) == windows).all()
+
+
+def test_components_of_a_long_chain(spark):
+    from nameloom.llm.common import connected_components
+
+    n = 400
+    order = [(i * 197) % n for i in range(n)]  # neighbours in the chain have far ids
+    links = spark.createDataFrame([*zip(order, order[1:]), (900, 900), (901, 902), (902, 901)], "a long, b long").repartition(2)
+    labels = {r["v"]: r["label"] for r in connected_components(links).collect()}
+    assert labels == dict.fromkeys(range(n), 0) | {900: 900, 901: 901, 902: 901}
+
+
 # --- mixing ----------------------------------------------------------------------------------------
 
 
@@ -430,6 +468,43 @@ def test_pii(spark, nothing):
     assert pii_supervision.find_pii(nothing).count() == 0
 
 
+def test_many_spans_in_one_text_take_linear_time():
+    import time
+
+    import pyarrow as pa
+
+    text = " ".join(f"10.{i % 200}.{i // 200 % 200}.7 {i:012d}" for i in range(60_000)) + " a.b" * 100_000
+    start = time.time()
+    batch = next(pii_supervision._scan([pa.record_batch({"doc_id": [1], "text": [text]})]))
+    assert batch.column("n_ip").to_pylist() == [60_000] and time.time() - start < 60
+    spans, taken = [(rng, rng + 3) for rng in range(0, 900, 4)], [("x", 10, 14), ("x", 12, 40), ("x", 40, 41), ("x", 700, 703)]
+    assert pii_supervision.apart(spans, taken) == [(a, b) for a, b in spans if not any(a < d and c < b for _, c, d in taken)]
+
+
+def test_added_spans_on_labelled_texts(spark):
+    """Precision and recall on texts whose secrets, names and spelled-out addresses are known."""
+    rng = random.Random(41)
+    hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    rows, labels = [], {}
+    for i in range(300):
+        name = f"{rng.choice(('Mary', 'John', 'Susan', 'Peter'))} {rng.choice(('Okafor', 'Lindqvist', 'Marsh', 'Tanaka'))}"
+        real, pick = [("api_key = ", hexes(40), "secret"), ("dear Mrs ", name, "name"), ("regards, ", name, "name"), ("write to mail ", f"{name.split()[0].lower()} (at) example (dot) com", "spelled_email")], []
+        junk = [f"see /usr/lib/{'x' * 12}_{rng.randrange(10**6)}_{'y' * 9}", f"version {rng.randrange(10**9, 10**10)}", f"{rng.choice(('John', 'Mary'))} {rng.choice(('Street', 'University', 'Park'))}", f"#{rng.choice('ab') * 25}1"]
+        parts = [(x, None, None) for x in rng.sample(junk, 2)] + rng.sample(real, 2)
+        rng.shuffle(parts)
+        text, spans = prose(rng, 5), set()
+        for lead, value, kind in parts:
+            text += f" {prose(rng, 12)} {lead}"
+            if value:
+                spans.add((kind, len(text), len(text) + len(value)))
+                text += value
+        rows.append((i, text + f" {prose(rng, 5)}", "a"))
+        labels[i] = spans
+    found = {r["doc_id"]: {(s["kind"], s["start"], s["end"]) for s in r["added"]} for r in pii_supervision.find_pii(frame(spark, rows)).collect()}
+    right = sum(len(labels[i] & found[i]) for i in labels)
+    assert right >= 0.9 * sum(map(len, labels.values())) and right >= 0.9 * sum(map(len, found.values()))
+
+
 def test_em_finds_a_bad_labeler():
     rng = random.Random(14)
     counts = Counter()
