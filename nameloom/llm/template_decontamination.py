@@ -72,12 +72,23 @@ def _slice(at: Column, window: int) -> Column:
 
 
 def benchmark_windows(items: DataFrame, window: int = WINDOW, literals: int = LITERALS) -> DataFrame:
-    """(item_id, item, n_windows, ipos, h, iwords) of the windows with enough literal words."""
-    df = _windows(items.select("item_id", "text").withColumn("item", F.xxhash64("item_id", "text")), window)
-    df = df.select("item_id", "item", "_words", F.posexplode("_hashes").alias("ipos", "h")).withColumn("iwords", _slice(F.col("ipos"), window))
-    w = F.col("iwords")
-    plain = F.size(F.filter(F.sequence(F.lit(1), F.lit(window)), lambda i: ~canonical(F.get(w, i), F.get(w, i - 1)).isin(*SLOTS)))
-    df = materialise(df.where(plain >= literals).select("item_id", "item", "ipos", "h", "iwords"), "benchmark-windows")
+    """(item_id, item, n_windows, ipos, h, iwords) of the windows with enough literal words.
+
+    Words, template tokens and windows are written one after the other: each is computed once, and
+    long items are dealt to several tasks.
+    """
+    df = items.select("item_id", "text").withColumn("item", F.xxhash64("item_id", "text")).repartition("item")
+    df = materialise(df.select("item_id", "item", words(F.col("text")).alias("_words")), "benchmark-words")
+    tokens = F.transform("_words", lambda w, i: canonical(w, F.get(F.col("_words"), i - 1)))
+    df = materialise(df.withColumn("_tokens", tokens), "benchmark-tokens")
+    t = F.col("_tokens")
+    df = df.withColumn("_t", F.transform(t, lambda x: F.xxhash64(x)))
+    starts = F.when(F.size(t) >= window, F.sequence(F.lit(0), F.size(t) - window))
+    slot = F.transform(t, lambda x: x.isin(*SLOTS).cast("int"))
+    plain = lambda i: F.size(F.filter(F.slice(slot, i + 1, F.lit(window)), lambda x: x == 0))
+    one = lambda i: F.struct(i.alias("ipos"), F.xxhash64(*[F.get(F.col("_t"), i + j) for j in range(window)]).alias("h"), plain(i).alias("plain"), _slice(i, window).alias("iwords"))
+    df = df.select("item_id", "item", F.explode(F.transform(starts, one)).alias("w")).select("item_id", "item", "w.*")
+    df = materialise(df, "benchmark-slices").where(F.col("plain") >= literals).drop("plain")
     counts = df.groupBy("item").agg(F.countDistinct("ipos").alias("n_windows")).withColumnRenamed("item", "_item")
     return df.join(counts, F.col("item") == F.col("_item")).drop("_item")
 
@@ -99,7 +110,7 @@ def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, litera
     diagonal = F.col("pos") - F.col("ipos")
     found = hits.groupBy(*pair).agg(F.first("doc_id").alias("doc_id"), F.first("item_id").alias("item_id"), F.first("n_windows").alias("n_windows"), F.countDistinct("ipos").alias("n_matched"), F.min(diagonal).alias("_lo"), F.max(diagonal).alias("_hi"))
     found = materialise(found.where(F.col("n_matched") >= coverage * F.col("n_windows")), "template-found")
-    fit = F.col("n_conflicts") <= (1 - consistency) * F.col("n_values")
+    fit = F.col("n_values") - F.col("n_conflicts") >= consistency * F.col("n_values") - 1e-9  # equality counts, whatever the rounding
     names = ["doc_id", "item_id", "n_windows", "n_matched", "n_values", "n_conflicts", "row"]
     whole = materialise(found.join(_fit(_slots(hits.join(found.select(*pair), pair, "left_semi"), pair, window), pair), pair, "left").na.fill(0, ["n_values", "n_conflicts"]), "template-whole")
 
