@@ -16,7 +16,8 @@ lines removed, and a document whose rest is under ``min_words`` words or under
 
 Cases: null text has no words and fails the base rules; null source is a host
 of its own; repeated rows are judged alike; an empty table gives an empty
-result; other columns pass through and may have any name but those added.
+result; very long texts are judged like any
+other; other columns pass through and may have any name, those that ``judge`` adds are replaced.
 """
 
 from __future__ import annotations
@@ -80,14 +81,24 @@ def base_features(docs: DataFrame) -> DataFrame:
     return df.withColumn("base_failed", failed).drop("_h", "_w", "_s", "_p", "_lines")
 
 
+#: Columns that ``judge`` adds.
+ADDED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "clean_text", "n_rest_words", "kept")
+
+
 def judge(docs: DataFrame, max_share: float = 0.05, min_docs: int = 10, min_words: int = MIN_WORDS, min_rest: float = 0.5) -> DataFrame:
-    """``docs`` with the base features, clean_text, n_rest_words and kept."""
+    """``docs`` with the base features, clean_text, n_rest_words and kept; columns of those names are replaced."""
+    df = _judged(docs, max_share, min_docs, min_words, min_rest)
+    return df.select(*[F.col("_doc").getField(c).alias(c) for c in docs.columns if c not in ADDED], *ADDED)
+
+
+def _judged(docs: DataFrame, max_share: float, min_docs: int, min_words: int, min_rest: float) -> DataFrame:
+    """The rows of ``docs`` as ``_doc``, text, source and the columns ``ADDED``."""
     bad = materialise(common_lines(docs, max_share, min_docs), "common-lines")
     size = bad.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("bad")), F.lit(0))).first()
     bad = bad.select(F.col("host").alias("_host"), F.col("bad").alias("_bad"))
     if size[0] <= BROADCAST_HOSTS and size[1] <= BROADCAST_LINES:
         bad = F.broadcast(bad)
-    df = docs.join(bad, F.col("source").eqNullSafe(F.col("_host")), "left")
+    df = packed(docs, "text", "source").join(bad, F.col("source").eqNullSafe(F.col("_host")), "left")
     df = base_features(df)
     rest = F.array_join(F.filter(lines(F.col("text")), lambda line: ~F.array_contains(F.col("_bad"), line_hash(line)) | ~line.rlike(WORD)), "\n")
     df = df.withColumn("clean_text", F.when(F.col("_bad").isNull(), F.col("text")).otherwise(rest))
@@ -96,9 +107,9 @@ def judge(docs: DataFrame, max_share: float = 0.05, min_docs: int = 10, min_word
     return df.withColumn("kept", ~F.col("base_failed") & ~depleted).drop("_host", "_bad")
 
 
-def keep_good(docs: DataFrame, **limits) -> DataFrame:
+def keep_good(docs: DataFrame, max_share: float = 0.05, min_docs: int = 10, min_words: int = MIN_WORDS, min_rest: float = 0.5) -> DataFrame:
     """The documents kept, with the columns of ``docs``; common lines are gone from their texts."""
     # A filter on a projection that is not deterministic stays above it; pushed down, it would
     # hold copies of every expression that ``kept`` is made of.
-    df = judge(packed(docs, "text", "source"), **limits).withColumn("_n", F.monotonically_increasing_id()).where(F.col("kept") & (F.col("_n") >= 0))
+    df = _judged(docs, max_share, min_docs, min_words, min_rest).withColumn("_n", F.monotonically_increasing_id()).where(F.col("kept") & (F.col("_n") >= 0))
     return unpacked(df, docs.columns, text=F.col("clean_text"), n_chars=F.length("clean_text").cast("long"))
