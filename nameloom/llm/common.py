@@ -71,7 +71,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def packed(docs: DataFrame, *names: str) -> DataFrame:
+def packed(docs: DataFrame, *names: str | Column) -> DataFrame:
     """The columns ``names`` and the whole row as ``_doc``, so that no other column can clash with a working name."""
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), *names)
 

@@ -12,17 +12,17 @@ their source, and distributed prefix sums of the sizes (``common.prefix_sums``)
 show where the budget ends; the document there gives just the words missing.
 
 Cases: null text has size 0; null source is a source of its own; null or
-repeated doc_ids are rows like any other (equal rows are interchangeable, ties
-of the key go by doc_id and size); an empty table gives an empty result; a source
+repeated doc_ids are rows like any other (rows without an id are ordered by a hash of the whole row; equal rows are
+interchangeable; ties of the key go by doc_id, size and row); a very long text is one row like any other; an empty table gives an empty result; a source
 without words has target 0; further columns are not looked at.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nameloom.llm.common import KEY_BITS, bucket_bits, hash_key, materialise, n_words, packed, prefix_sums, unpacked, words
+from nameloom.llm.common import KEY_BITS, bucket_bits, by_ids, hash_key, materialise, n_words, packed, prefix_sums, words
 
 SEED = "mix-1"
 WEIGHTS = (5, 2, 1)
@@ -46,35 +46,57 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, share: float = 1.5, epochs
     return rows.select("source", "source_size", F.when(F.col("_open"), F.col("_w") * F.col("_last")).otherwise(F.col("_cap")).alias("target"))
 
 
+def row_key(docs: DataFrame) -> Column:
+    """Hash of a whole row: rows with equal keys are equal."""
+    return F.xxhash64(*[x for c in docs.columns for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())])
+
+
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, epochs: int = 2, seed: str = SEED) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken: words the mix takes of each row of ``docs``."""
-    sized = materialise(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), "mix-sizes")
+    """doc_id, source, row (key of the whole row), size, source_size, target, taken: words the mix takes of each row of ``docs``."""
+    sized = materialise(docs.select("doc_id", "source", row_key(docs).alias("row"), n_words(F.col("text")).alias("size")), "mix-sizes")
     bits = bucket_bits(sized.count())
     targets = source_targets(sized, weights, share, epochs)
     # one narrow row per source; its name is replaced by its number so that later keys are never null
     numbered = targets.withColumn("_s", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))).withColumnRenamed("source", "_name")
     numbered = materialise(numbered, "mix-targets")
     keyed = sized.join(numbered, F.col("source").eqNullSafe(F.col("_name"))).drop("_name")
-    keyed = keyed.withColumn("_key", hash_key("doc_id", seed=seed)).withColumn("_bucket", F.shiftright("_key", KEY_BITS - bits) if bits else F.lit(0).cast("long"))
-    summed = prefix_sums(keyed, ["_s"], "_bucket", [F.col("_key"), F.col("doc_id"), F.col("size")], "size", "_before")
+    own = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("row "), F.col("row").cast("string")))  # rows without an id have keys of their own
+    keyed = keyed.withColumn("_key", hash_key(own, seed=seed)).withColumn("_bucket", F.shiftright("_key", KEY_BITS - bits) if bits else F.lit(0).cast("long"))
+    summed = prefix_sums(keyed, ["_s"], "_bucket", [F.col("_key"), F.col("doc_id"), F.col("size"), F.col("row")], "size", "_before")
     budget = F.round(F.col("target")).cast("long")
     whole = F.when(F.col("source_size") > 0, F.expr("cast(round(target) as bigint) div source_size")).otherwise(F.lit(0)).cast("long")
     rest = F.greatest(budget - whole * F.col("source_size") - F.col("_before"), F.lit(0).cast("long"))
-    return summed.select("doc_id", "source", "size", "source_size", "target", (whole * F.col("size") + F.least(rest, F.col("size"))).cast("long").alias("taken"))
+    return summed.select("doc_id", "source", "row", "size", "source_size", "target", (whole * F.col("size") + F.least(rest, F.col("size"))).cast("long").alias("taken"))
+
+
+#: Copies of a row that are made from one array.
+COPIES = 1_000
 
 
 def apply_mix(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """The rows of the mix, with the columns of ``docs``: repeats whole, the document at a budget's end cut.
 
     A document with ``taken`` = c * size + k comes c times, and, if k > 0, once
-    more with its first k words joined by single spaces.  ``doc_id`` must be
-    unique among the rows with words (null doc_ids match null doc_ids).
+    more with its first k words joined by single spaces.  ``mixed`` is ``mix`` of the same ``docs``.
+    Rows meet by their key; equal rows are interchangeable, so one of them comes as often as all of them should.
     """
-    plan = mixed.where("taken > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.max("size").alias("_size"), F.max("taken").alias("_taken"))
-    rows = packed(docs, "doc_id", "text").join(plan, F.col("doc_id").eqNullSafe(F.col("_id"))).withColumns({"_copies": F.expr("cast(_taken div _size as int)"), "_rest": F.expr("cast(_taken % _size as int)")})
-    parts = F.concat(F.array_repeat(F.lit(0), F.col("_copies")), F.when(F.col("_rest") > 0, F.array(F.col("_rest"))).otherwise(F.array().cast("array<int>")))
-    rows = rows.withColumn("_part", F.explode(parts))
+    whole, part = F.expr("taken div size"), F.col("taken") % F.col("size")
+    plan = mixed.where("taken > 0").groupBy("row").agg(F.count(F.lit(1)).alias("_n"), F.sum(whole).alias("_copies"), F.collect_list(F.when(part > 0, part.cast("int"))).alias("_rest"))
+    plan = materialise(plan.withColumnRenamed("row", "_row"), "mix-plan")  # at most one row of a source is cut, so _rest has one entry at most
+    rows = packed(docs, "text", row_key(docs).alias("_row"))
+    repeated = plan.where("_n > 1")
+    single = rows.join(plan.where("_n = 1"), "_row")
+    several = by_ids(rows, repeated.select("_row"), "_row", "left_semi").groupBy("_row").agg(F.first("_doc").alias("_doc"), F.first("text", ignorenulls=True).alias("text")).join(repeated, "_row")
+    rows = single.select("_doc", "text", "_copies", "_rest").unionByName(several.select("_doc", "text", "_copies", "_rest"))
+    # fields under numbers: extraction from a struct is not resolved through two generators
+    rows = rows.select("text", "_copies", "_rest", *[F.col("_doc").getField(c).alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    rows = rows.withColumn("_lot", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"_copies div {COPIES}"))))
+    here = F.least(F.lit(COPIES), F.col("_copies") - F.col("_lot") * COPIES).cast("int")
+    rows = rows.withColumn("_part", F.explode(F.concat(F.array_repeat(F.lit(0), here), F.when(F.col("_lot") == 0, F.col("_rest")).otherwise(F.array().cast("array<int>")))))
+    shortened = F.col("_part") > 0
     cut = F.array_join(F.slice(words(F.col("text")), 1, F.greatest(F.col("_part"), F.lit(1))), " ")
-    rows = rows.withColumn("text", F.when(F.col("_part") > 0, cut).otherwise(F.col("text")))
-    n_chars = {"n_chars": F.when(F.col("_part") > 0, F.length("text").cast("long")).otherwise(F.col("_doc").getField("n_chars"))} if "n_chars" in docs.columns else {}
-    return unpacked(rows, docs.columns, text=F.col("text"), **n_chars)
+    text = F.when(shortened, cut).otherwise(F.col("text"))
+    out = {c: F.col(f"c{i}") for i, c in enumerate(docs.columns)} | {"text": text}
+    if "n_chars" in out:
+        out["n_chars"] = F.when(shortened, F.length(text).cast("long")).otherwise(out["n_chars"])
+    return rows.select(*[x.alias(c) for c, x in out.items()])
