@@ -20,8 +20,8 @@ Token ids come from a byte-level tokenizer, part by part, so the loss interval o
 an assistant turn covers its text and nothing else.
 
 Cases: null text or role is empty; a null turn sorts first; turns with equal numbers go by role and
-text; rows with a null conv_id are one conversation; an empty table gives no nodes; further
-columns are not looked at.  One conversation must fit in a task, as in training.
+text; a row with a null conv_id is a conversation of its own; an empty table gives no nodes; further
+columns are not looked at.  One conversation must fit in a task, as in training; a turn may be very long.
 """
 
 from __future__ import annotations
@@ -187,13 +187,14 @@ def prefix_tree(turns: DataFrame, tokenizer_path: str) -> tuple[DataFrame, DataF
     """
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
     rows = turns.select("conv_id", F.struct("turn", text("role").alias("role"), text("text").alias("text")).alias("t"))
-    rows = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    alone = rows.where("conv_id is null").select("conv_id", F.array("t").alias("turns"))
+    rows = rows.where("conv_id is not null").groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns")).unionByName(alone)
     rows = rows.withColumn("path", F.transform("turns", lambda t: F.md5(F.concat(F.length(t["role"]).cast("string"), F.lit(":"), t["role"], t["text"]))))
     rows = materialise(rows.withColumn("key", F.md5(F.array_join("path", ""))), "conversations")
     distinct = rows.groupBy("key").agg(F.first("path").alias("path"), F.first("turns").alias("turns"))
-    encoded = distinct.mapInArrow(_encode(tokenizer_path), PATHS)
-    ordered = encoded.repartitionByRange("path").sortWithinPartitions("path")
-    emitted = materialise(ordered.mapInArrow(_walk, EMITTED), "prefix-tree")
+    # dealt out before encoding, so that the sample for the ranges costs no tokenizer work
+    ordered = distinct.repartitionByRange("path").sortWithinPartitions("path")
+    emitted = materialise(ordered.mapInArrow(_encode(tokenizer_path), PATHS).mapInArrow(_walk, EMITTED), "prefix-tree")
     edges = emitted.where("kind = 'edge'").orderBy("part").collect()  # one row per partition
     shifts = turns.sparkSession.createDataFrame(partition_shifts(edges), "part long, base long, cut long, shared int, known_starts array<long>, known_ends array<long>")
     shifted = emitted.where("kind <> 'edge'").join(F.broadcast(shifts), "part")
