@@ -14,7 +14,7 @@ Merging: the blocks' first keys, a fixed number of each run at most, give splitt
 one url key may span ranges).  Each range is a task that opens every run at its
 own block and merges them with a loser tree: one comparison per level and capture, and one block per run in
 memory.  The ranges in order are the globally ordered capture histories.  More than
-``FAN_IN`` runs are first merged in groups to longer runs.
+``FAN_IN`` runs are first merged in groups, also range by range, so no task ever reads more than one range of ``FAN_IN`` runs.
 
 Files go to the shared folder under a temporary name and are renamed when whole.
 
@@ -31,9 +31,10 @@ import bisect
 import gzip
 import hashlib
 import json
+import uuid
 import zlib
 from datetime import datetime, timedelta, timezone
-from urllib.parse import urlsplit
+from urllib.parse import quote, urlsplit
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -43,6 +44,8 @@ from nameloom.llm.common import new_folder
 from nameloom.llm.token_records import open_store
 
 BLOCK, FAN_IN, SAMPLES = 512, 256, 512
+#: Rows that are Python objects at a time in a worker.
+SLICE = 50
 EPOCH = datetime(2024, 1, 1, tzinfo=timezone.utc)
 FILES = "shard long, path string, records long"
 CAPTURES = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, url_key string, captured string, archive string, offset long, length long, range long, place long"
@@ -65,12 +68,27 @@ def digest32(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
+def record_id(page_id: int | None) -> str:
+    """A UUID made from the page_id, so that it can be named before it is written."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>"
+
+
+def header_uri(url: str | None) -> str | None:
+    """``url`` as a bare header value: white space, control characters and all beyond ASCII are percent-encoded."""
+    return quote(url, safe="!#$%&'()*+,/:;=?@[]~<>\"\\^`{|}") or None if url else None
+
+
 def warc_record(page_id, url, captured: str, kind: str, payload: bytes | None, digest: str, size: int, refers_to) -> bytes:
     """One record as a gzip member with fixed header bytes, so that a second attempt writes the same."""
-    name = "null" if page_id is None else str(page_id)
-    fields = [("WARC-Type", kind), ("WARC-Record-ID", f"<urn:page:{name}>"), ("WARC-Date", captured), ("WARC-Target-URI", json.dumps(url, ensure_ascii=True)), ("WARC-Payload-Digest", f"sha1:{digest}")]
+    fields = [("WARC-Type", kind), ("WARC-Record-ID", record_id(page_id)), ("WARC-Date", captured)]
+    target = header_uri(url)
+    if target:
+        fields.append(("WARC-Target-URI", target))
+    fields += [("WARC-Payload-Digest", f"sha1:{digest}"), ("X-Page-Id", json.dumps(page_id))]
+    if target != url:  # null, empty, or with characters that a header cannot hold
+        fields.append(("X-Page-Url", json.dumps(url, ensure_ascii=True)))
     if kind == "revisit":
-        fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:page:{refers_to}>"), ("X-Payload-Length", str(size))]
+        fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", record_id(refers_to)), ("X-Refers-To-Page", json.dumps(refers_to)), ("X-Payload-Length", str(size))]
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
     block = http + (payload or b"")
     fields += [("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block)))]
@@ -88,11 +106,11 @@ def parse_record(raw: bytes) -> dict:
     fields = dict(line.split(": ", 1) for line in lines[1:])
     block = rest[: int(fields["Content-Length"])]
     payload = block.partition(b"\r\n\r\n")[2]
-    page = lambda s: None if s in ("<urn:page:null>", "<urn:page:None>") else int(s[10:-1])
-    out = {"page_id": page(fields["WARC-Record-ID"]), "url": json.loads(fields["WARC-Target-URI"]), "captured": fields["WARC-Date"], "record_type": fields["WARC-Type"], "refers_to": None}
+    url = json.loads(fields["X-Page-Url"]) if "X-Page-Url" in fields else fields.get("WARC-Target-URI")
+    out = {"page_id": json.loads(fields["X-Page-Id"]), "url": url, "captured": fields["WARC-Date"], "record_type": fields["WARC-Type"], "refers_to": None}
     stated = fields["WARC-Payload-Digest"].removeprefix("sha1:")
     if out["record_type"] == "revisit":
-        return out | {"refers_to": page(fields["WARC-Refers-To"]), "payload_bytes": int(fields["X-Payload-Length"]), "payload_digest": stated, "payload": None}
+        return out | {"refers_to": json.loads(fields["X-Refers-To-Page"]), "payload_bytes": int(fields["X-Payload-Length"]), "payload_digest": stated, "payload": None}
     if digest32(payload) != stated:
         raise ValueError(f"payload of {fields['WARC-Record-ID']} does not match its digest")
     return out | {"payload_bytes": len(payload), "payload_digest": stated, "payload": payload}
@@ -226,7 +244,7 @@ def _write(folder: str):
         store, root = open_store(folder)
         path, offset, count, out = f"{root}/archive-{task.partitionId():06d}.warc.gz", 0, 0, None
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in (r for i in range(0, len(batch), SLICE) for r in batch.slice(i, SLICE).to_pylist()):
                 page, payload, first = row["page_id"], row["payload"], row["first"]
                 again = first is not None and page != first
                 raw = warc_record(page, row["url"], row["captured"], "revisit" if again else "response", None if again else payload, digest32(payload), len(payload), first if again else None)
@@ -273,17 +291,18 @@ def _index(folder: str, run_size: int):
     return rows
 
 
-def _combine(folder: str):
-    """Merge each group of runs to one longer run."""
+def _combine(folder: str, ranges: list[list[str]], edges: list, prefix: str, fan_in: int):
+    """Merge ``fan_in`` runs of one key range to one run of that range."""
 
     def rows(batches):
         from pyspark import TaskContext
 
         store, _ = open_store(folder)
         for batch in batches:
-            for target, paths in zip(batch.column("target").to_pylist(), batch.column("paths").to_pylist()):
-                count = write_run(store, target, LoserTree([read_run(store, p) for p in paths], sort_key), TaskContext.get().taskAttemptId())
-                yield pa.record_batch({"shard": pa.array([0], pa.int64()), "path": [target], "records": pa.array([count], pa.int64())})
+            for number, group in zip(*(batch.column(c).to_pylist() for c in ("range", "group"))):
+                paths, target = ranges[number][group * fan_in : (group + 1) * fan_in], f"{prefix}-{number:06d}-{group:05d}"
+                count = write_run(store, target, LoserTree([read_run(store, p, edges[number], edges[number + 1]) for p in paths], sort_key), TaskContext.get().taskAttemptId())
+                yield pa.record_batch({"shard": pa.array([number], pa.int64()), "path": [target], "records": pa.array([count], pa.int64())})
 
     return rows
 
@@ -302,14 +321,13 @@ def _sample(folder: str):
     return rows
 
 
-def _merge(folder: str, paths: list[str]):
+def _merge(folder: str, ranges: list[list[str]], edges: list):
     def rows(batches):
         store, _ = open_store(folder)
         for batch in batches:
-            for number, low, high in zip(*(batch.column(c).to_pylist() for c in ("range", "low", "high"))):
-                low, high = (tuple(json.loads(x)) if x else None for x in (low, high))
+            for number in batch.column("range").to_pylist():
                 out, place = [], 0
-                for capture in LoserTree([read_run(store, p, low, high) for p in paths], sort_key):
+                for capture in LoserTree([read_run(store, p, edges[number], edges[number + 1]) for p in ranges[number]], sort_key):
                     out.append(capture | {"range": number, "place": place})
                     place += 1
                     if len(out) == 5_000:
@@ -326,22 +344,24 @@ def _captures(out: list[dict]) -> pa.RecordBatch:
     return pa.record_batch({name: pa.array([c[name] for c in out], kinds[kind]) for name, kind in (x.split(" ") for x in CAPTURES.split(", "))})
 
 
-def merge_runs(spark, folder: str, paths: list[str], ranges: int) -> DataFrame:
-    """All captures of the runs: globally ordered by (range, place)."""
-    turn = 0
-    while len(paths) > FAN_IN:
-        groups = [(f"{paths[i].rpartition('/')[0]}/merged-{turn}-{i // FAN_IN:05d}", paths[i : i + FAN_IN]) for i in range(0, len(paths), FAN_IN)]
-        table = spark.createDataFrame(groups, "target string, paths array<string>").repartition(len(groups), "target")
-        paths, turn = sorted(r["path"] for r in table.mapInArrow(_combine(folder), FILES).collect()), turn + 1
+def merge_runs(spark, folder: str, paths: list[str], ranges: int, fan_in: int = FAN_IN) -> DataFrame:
+    """All captures of the runs: globally ordered by (range, place).  No task merges more than ``fan_in`` runs or one key range."""
     runs = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, min(len(paths), 64)), "path")
     keys = sorted(tuple(k) for row in runs.mapInArrow(_sample(folder), "keys string").collect() for k in json.loads(row["keys"]))
     cuts = sorted({keys[len(keys) * i // ranges] for i in range(1, ranges)} - {keys[0]}) if keys else []
-    edges = [None, *map(json.dumps, cuts), None]
-    tasks = [(i, edges[i], edges[i + 1]) for i in range(len(edges) - 1)]
-    return spark.createDataFrame(tasks, "range long, low string, high string").repartition(len(tasks), "range").mapInArrow(_merge(folder, paths), CAPTURES)
+    edges = [None, *cuts, None]
+    by_range = [paths] * (len(edges) - 1)
+    turn = 0
+    while max(map(len, by_range)) > fan_in:
+        tasks = [(i, g) for i, p in enumerate(by_range) for g in range(-(-len(p) // fan_in))]
+        table = spark.createDataFrame(tasks, "range long, group long").repartition(len(tasks), "range", "group")
+        merged = table.mapInArrow(_combine(folder, by_range, edges, f"{paths[0].rpartition('/')[0]}/merged-{turn}", fan_in), FILES).collect()  # one row per range and group
+        by_range, turn = [sorted(r["path"] for r in merged if r["shard"] == i and r["records"]) for i in range(len(by_range))], turn + 1
+    tasks = spark.createDataFrame([(i,) for i in range(len(by_range))], "range long").repartition(len(by_range), "range")
+    return tasks.mapInArrow(_merge(folder, by_range, edges), CAPTURES)
 
 
-def capture_history(pages: DataFrame, least: int = 0, captured=None, folder: str | None = None, ranges: int | None = None, run_size: int = 50_000) -> DataFrame:
+def capture_history(pages: DataFrame, least: int = 0, captured=None, folder: str | None = None, ranges: int | None = None, run_size: int = 50_000, fan_in: int = FAN_IN) -> DataFrame:
     """Write ``pages`` (page_id, url, html) to WARC archives, read them back, and merge their indexes.
 
     ``captured``: an ISO timestamp column; page_id seconds after a fixed day if none.
@@ -355,4 +375,4 @@ def capture_history(pages: DataFrame, least: int = 0, captured=None, folder: str
         return spark.createDataFrame([], CAPTURES)
     table = spark.createDataFrame([(a["path"],) for a in archives], "path string").repartition(len(archives), "path")
     runs = sorted(r["path"] for r in table.mapInArrow(_index(folder, run_size), FILES).collect())
-    return merge_runs(spark, folder, runs, ranges or int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return merge_runs(spark, folder, runs, ranges or int(spark.conf.get("spark.sql.shuffle.partitions")), fan_in)
