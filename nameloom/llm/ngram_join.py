@@ -5,8 +5,8 @@ it has fewer words).  Two documents link when 100 * |intersection| >= ``percent`
 * |union|.
 
 1. Equal texts become one class; the rest works on one text of each class.
-2. Shingles are hashed to 64 bits in batches.  Every batch sends the 32-bit
-   fingerprints of its shingles, packed and compressed, to buckets by range; a bucket counts
+2. Shingles are hashed to 64 bits in batches.  Every batch sends fingerprints of its
+   shingles (``SPARE_BITS`` more bits than their number has, so that few are equal by chance at any size), packed and compressed, to buckets by range; a bucket counts
    in how many documents each occurs and returns those of two documents or more to
    the batches that sent them.  Fingerprints that one batch has more than
    ``DENSE`` times travel as a count, and their places come back from the batch
@@ -51,6 +51,10 @@ from nameloom.llm.common import by_ids, connected_components, materialise
 
 #: Entries of one fingerprint in one batch beyond which only their number is sent.
 DENSE = 4
+#: Bits of a fingerprint beyond the logarithm of the number of shingles.
+SPARE_BITS = 14
+#: Entries of a list that one task compares with the others of it.
+LIST_SLICE = 2_000
 #: Shingles that one counting task takes on average (documents have about one for 5 bytes).
 BUCKET = 1_000_000
 #: Rounds in which entries apart from their list's main component are compared with one of its members.
@@ -85,13 +89,15 @@ def shingle_sets(texts: list, n: int) -> list[np.ndarray]:
 def _pack(x: np.ndarray) -> bytes:
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).tobytes())
+    planes = np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.dtype.itemsize)  # byte by byte, as high bytes are mostly zero
+    return zstandard.ZstdCompressor(level=1).compress(planes.T.tobytes())
 
 
 def _unpack(x: bytes, kind) -> np.ndarray:
     import zstandard
 
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(x, max_output_size=1 << 31), dtype=kind)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(x), dtype=np.uint8)  # the frame states its size
+    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
 COLUMNS = ("bucket", "batch", "docs", "sizes", "fps", "marks")
@@ -104,7 +110,7 @@ def _batch_row(bucket: int, batch: int, docs=None, sizes=None, fps=None, marks=N
 
 
 def _fps(row) -> np.ndarray:
-    return np.cumsum(_unpack(row["fps"], np.uint32), dtype=np.uint32)
+    return np.cumsum(_unpack(row["fps"], np.uint64), dtype=np.uint64)
 
 
 def _table(rows: list[dict]) -> pa.Table:
@@ -112,7 +118,7 @@ def _table(rows: list[dict]) -> pa.Table:
     return pa.table({c: pa.array([r[c] for r in rows], kind) for c, kind in kinds.items()})
 
 
-def _send(n: int, buckets: int):
+def _send(n: int, buckets: int, bits: int):
     """Texts to rows for the buckets: entries (fingerprint, place), negative places being counts."""
     from nameloom.llm.wordhash import release, text_pieces
 
@@ -124,13 +130,13 @@ def _send(n: int, buckets: int):
             docs = batch.column("doc").to_pylist()
             for lo, hi, texts in text_pieces(batch.column("text"), 4 << 20):
                 full = shingle_sets(texts, n)
-                sets = [np.unique((s >> np.uint64(32)).astype(np.uint32)) for s in full]
+                sets = [np.unique(s >> np.uint64(64 - bits)) for s in full]
                 sizes = np.array([len(s) for s in full], dtype=np.int64)
-                fps = np.concatenate([*sets, np.empty(0, dtype=np.uint32)])
+                fps = np.concatenate([*sets, np.empty(0, dtype=np.uint64)])
                 place = np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])
                 order = np.argsort(fps, kind="stable")
                 fps, place = fps[order], place[order]
-                starts = np.flatnonzero(np.diff(fps, prepend=fps[:1] ^ np.uint32(1))) if len(fps) else np.empty(0, dtype=np.int64)
+                starts = np.flatnonzero(np.diff(fps, prepend=fps[:1] ^ np.uint64(1))) if len(fps) else np.empty(0, dtype=np.int64)
                 counts = np.diff(np.append(starts, len(fps)))
                 dense = np.repeat(counts > DENSE, counts)
                 out_fps = np.concatenate([fps[~dense], fps[starts[counts > DENSE]]])
@@ -139,7 +145,7 @@ def _send(n: int, buckets: int):
                 out_fps, out_mark = out_fps[order], out_mark[order]
                 own = np.array([len(s) for s in sets], dtype=np.int64)
                 out = [_batch_row(hash(batch_no) % buckets, batch_no, docs="\n".join(docs[lo:hi]).encode(), sizes=np.stack([sizes, own]).tobytes(), fps=fps[dense], marks=place[dense])]
-                cuts = np.searchsorted(out_fps, (np.arange(1, buckets, dtype=np.uint64) << np.uint64(32)) // np.uint64(buckets))
+                cuts = np.searchsorted(out_fps, np.array([(i << bits) // buckets for i in range(1, buckets)], dtype=np.uint64))
                 for b, (f, m) in enumerate(zip(np.split(out_fps, cuts), np.split(out_mark, cuts))):
                     if len(f):
                         out.append(_batch_row(b, batch_no, fps=f, marks=m))
@@ -261,10 +267,15 @@ def _ordered(x, y) -> list:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def shared_prefixes(texts: DataFrame, n: int, percent: int, total_bytes: int) -> DataFrame:
+def fingerprint_bits(total_bytes: int) -> int:
+    """Bits of a fingerprint: of 2**k shingles, about one in 2**SPARE_BITS equals another by chance."""
+    return min(63, max(32, math.ceil(math.log2(total_bytes / 5 + 1)) + SPARE_BITS))
+
+
+def shared_prefixes(texts: DataFrame, n: int, percent: int, total_bytes: int, bits: int | None = None) -> DataFrame:
     """(doc, size, tokens) of distinct ``texts`` (doc, text): tokens empty where nothing can link."""
     buckets = max(16, math.ceil(total_bytes / 5 / BUCKET))
-    sent = texts.mapInArrow(_send(n, buckets), SCHEMA)
+    sent = texts.mapInArrow(_send(n, buckets, bits or fingerprint_bits(total_bytes)), SCHEMA)
     counted = sent.groupBy("bucket").applyInArrow(_count, SCHEMA)
     return counted.groupBy("batch").applyInArrow(_prefixes(percent), SHINGLES)
 
@@ -276,7 +287,7 @@ def _mixed_lists(lists: DataFrame, members: DataFrame, links: DataFrame, turn: i
     comp = materialise(comp, f"member-components-{turn}")
     entries = lists.join(comp.select("g", "comp").distinct(), "g")
     per = entries.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("n"))
-    main = per.groupBy("token").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")).where("comps > 1").drop("comps")
+    main = per.groupBy("token").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count(F.lit(1)).alias("comps"), F.sum("n").alias("entries")).where("comps > 1").drop("comps")
     return comp, materialise(entries.join(main, "token"), f"mixed-lists-{turn}")
 
 
@@ -325,10 +336,12 @@ def candidate_links(sized: DataFrame, sets: DataFrame, percent: int) -> DataFram
         """May sets with sketches x and y link, if these are up to ``slack`` bits off?"""
         return (100 + percent) * (_apart(x, y) - slack) <= (100 - percent) * (F.col("s1") + F.col("s2"))
 
-    small = mixed.where("comp <> main").select("token", F.col("g").alias("g1"), F.col("size").alias("s1"), F.col("rest").alias("r1"), F.col("comp").alias("c1"), F.col("lead").alias("x1"), F.col("radius").alias("o1"))
-    every = mixed.select("token", F.col("g").alias("g2"), F.col("size").alias("s2"), F.col("rest").alias("r2"), F.col("comp").alias("c2"), (F.col("comp") == F.col("main")).alias("in_main"), F.col("lead").alias("x2"), F.col("radius").alias("o2"))
+    # a long list is dealt to several tasks: its entries are sliced on one side and meet copies of the other
+    slices = F.ceil(F.col("entries") / LIST_SLICE).cast("int")
+    small = mixed.where("comp <> main").select("token", F.explode(F.sequence(F.lit(0), slices - 1)).alias("slice"), F.col("g").alias("g1"), F.col("size").alias("s1"), F.col("rest").alias("r1"), F.col("comp").alias("c1"), F.col("lead").alias("x1"), F.col("radius").alias("o1"))
+    every = mixed.select("token", F.pmod(F.xxhash64("g", "comp"), slices).cast("int").alias("slice"), F.col("g").alias("g2"), F.col("size").alias("s2"), F.col("rest").alias("r2"), F.col("comp").alias("c2"), (F.col("comp") == F.col("main")).alias("in_main"), F.col("lead").alias("x2"), F.col("radius").alias("o2"))
     apart = (F.col("c1") != F.col("c2")) & (F.col("in_main") | (F.col("c1") < F.col("c2")))
-    left = small.join(every, (small["token"] == every["token"]) & apart & fits("1", "2") & near("x1", "x2", F.col("o1") + F.col("o2"))).select("g1", "c1", "g2", "c2").distinct()
+    left = small.join(every, (small["token"] == every["token"]) & (small["slice"] == every["slice"]) & apart & fits("1", "2") & near("x1", "x2", F.col("o1") + F.col("o2"))).select("g1", "c1", "g2", "c2").distinct()
     one, two = (inside.select(F.col("g").alias(f"g{i}"), F.col("comp").alias(f"c{i}"), F.col("doc").alias(f"d{i}"), F.col("size").alias(f"s{i}"), F.col("sketch").alias(f"x{i}")) for i in (1, 2))
     two = two.withColumnsRenamed({"g2": "_g2", "c2": "_c2"})
     first = left.join(one, ["g1", "c1"])
