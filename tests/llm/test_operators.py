@@ -86,6 +86,19 @@ def test_ngram_join_is_brute_force(docs, corpus, n, percent):
     assert Counter(map(tuple, found)) == brute_components(corpus, n, percent)
 
 
+def test_fingerprints_grow_with_the_input_and_narrow_ones_only_cost(spark, docs, corpus, monkeypatch):
+    assert [ngram_join.fingerprint_bits(x) for x in (0, 10**6, 10**9, 10**11, 10**14)] == [32, 32, 42, 49, 59]
+    shared = {}
+    texts = spark.createDataFrame([(hashlib.md5(str(i).encode()).hexdigest(), prose(random.Random(i), 400)) for i in range(40)], "doc string, text string")
+    for bits in (12, 50):
+        shared[bits] = texts.transform(lambda t: ngram_join.shared_prefixes(t, 4, 85, 10**5, bits)).agg(F.sum(F.size("tokens"))).first()[0]
+    assert shared[50] == 0 and shared[12] > 1000  # what the width is chosen by: no list of unrelated documents
+    monkeypatch.setattr(ngram_join, "fingerprint_bits", lambda total: 14)
+    monkeypatch.setattr(ngram_join, "LIST_SLICE", 5)
+    found = ngram_join.components(docs, 4, 85).select("doc_id", "n_shingles", "component_id").collect()
+    assert Counter(map(tuple, found)) == brute_components(corpus, 4, 85)
+
+
 def test_ngram_join_of_a_star_of_near_copies(spark):
     rng = random.Random(5)
     rows, base = [], prose(rng, 200).split()
@@ -208,6 +221,24 @@ def test_apply_mix(spark):
     assert out.columns == docs.columns and got == Counter({k: v for k, v in mixed.items() if v})
 
 
+def test_mix_and_its_rows_with_null_and_repeated_ids(spark):
+    rng = random.Random(17)
+    rows = [(None, prose(rng, 20 + i), "a") for i in range(9)] + [(None, "same words here", "a")] * 7 + [(4, prose(rng, 30), "b"), (4, prose(rng, 33), "b"), (4, "again and again", "b"), (4, "again and again", "b")]
+    rows += [(i + 10, prose(rng, 5), None) for i in range(30)] + [(60, None, "a"), (61, "", "b"), (62, prose(rng, 30_000, 50_000), "b")]
+    docs = frame(spark, rows)
+    taken = Counter()
+    for r in source_mix.mix(docs).collect():
+        taken[r["source"]] += r["taken"]
+    got, texts = Counter(), defaultdict(set)
+    for d, t, s in rows:
+        texts[(d, s)].add(t)
+    for r in source_mix.apply_mix(docs, source_mix.mix(docs)).collect():
+        got[r["source"]] += len(WORD.findall(r["text"]))
+        assert any((t or "").startswith(r["text"]) for t in texts[(r["doc_id"], r["source"])])
+    assert got == taken and sum(got.values()) == pytest.approx(1.5 * sum(len(WORD.findall(t or "")) for _, t, _ in rows), abs=2)
+    assert source_mix.apply_mix(docs.limit(0), source_mix.mix(docs.limit(0))).count() == 0
+
+
 # --- sharding --------------------------------------------------------------------------------------
 
 
@@ -253,6 +284,10 @@ def test_quality_lines(spark, docs, corpus, nothing):
             assert not kept
     good = quality_lines.keep_good(frame(spark, rows))
     assert good.columns == docs.columns and {r["n_words"] for r in good.collect()} == {"e"}
+    odd = frame(spark, rows).withColumnsRenamed({"row": "_host", "size": "_bad", "hub": "_h", "_key": "_lines"}).withColumn("kept", F.lit("x"))
+    again = quality_lines.judge(odd)
+    assert Counter(map(tuple, again.select("doc_id", "text", "n_words", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "clean_text").collect())) == out
+    assert {tuple(r) for r in again.select("_host", "_bad", "_h", "_lines").collect()} == {("a", "b", "c", "d")}
     assert quality_lines.judge(nothing).count() == 0 and quality_lines.keep_good(nothing).count() == 0
 
 
@@ -276,6 +311,71 @@ def test_templates(spark, docs, nothing):
     assert template_decontamination.contaminated(docs, items.limit(0)).count() == 0
 
 
+def brute_templates(doc, item):
+    """Does any run of the item's tokens, shifted by one number, cover and fit?  For documents that hold at most one occurrence."""
+    units, mark = set(template_decontamination.UNITS), template_decontamination.PUNCTUATION
+
+    def canon(words):
+        out = []
+        for i, w in enumerate(words):
+            bare, before = w.strip(mark), words[i - 1] if i else None
+            if re.match("[0-9]", bare):
+                out.append("<qty>" if re.fullmatch(r"[0-9][0-9.,]*[^\W\d_%°]+|[0-9][0-9.,]*[%°]+", bare) else "<num>")
+            elif re.match(r"[+$-][0-9]", w):
+                out.append("<num>")
+            elif before and re.match("[0-9]", before) and bare.lower() in units:
+                out.append("<unit>")
+            elif re.match("[A-Z]", bare) and before and before[-1] not in ".!?:":
+                out.append("<name>")
+            else:
+                out.append(bare.lower())
+        return out
+
+    a, b = WORD.findall(item), WORD.findall(doc)
+    ca, cb = canon(a), canon(b)
+    slots = ("<num>", "<qty>", "<unit>", "<name>")
+    at = [i for i in range(len(a) - 4) if sum(x not in slots for x in ca[i : i + 5]) >= 3]
+    where = defaultdict(list)
+    for j in range(len(b) - 4):
+        where[tuple(cb[j : j + 5])].append(j)
+    hits = [(i, j) for i in at for j in where[tuple(ca[i : i + 5])]]
+
+    def fits(hits):
+        if not at or len({i for i, _ in hits}) < 0.5 * len(at):
+            return False
+        pairs = {(canon(a[max(0, i - 1) : i + 5])[k + (i > 0)], a[i + k].strip(mark).lower(), b[j + k].strip(mark).lower()) for i, j in hits for k in range(5)}
+        pairs = {p for p in pairs if p[0] in slots}
+        one, two = Counter((k, x) for k, x, _ in pairs), Counter((k, y) for k, _, y in pairs)
+        return sum(n > 1 for n in [*one.values(), *two.values()]) <= 0.2 * (len(one) + len(two))
+
+    return fits(hits) or any(fits([h for h in hits if h[1] - h[0] == d]) for d in {j - i for i, j in hits})
+
+
+def test_templates_are_brute_force(spark):
+    rng = random.Random(51)
+    people, places, units = ("Anna", "Bob", "Maria", "Karl"), ("Rome", "Oslo", "Lyon"), ("km", "kg", "miles")
+    verbs = "takes buys sells moves counts finds sees makes keeps".split()
+
+    def sentence(k):
+        r = random.Random(k)
+        return " ".join(f"{r.choice(people)} {r.choice(verbs)} {r.randrange(2, 90)} {r.choice(units)} of {r.choice('abcdefgh')}{k}ing near {r.choice(places)} and then" for _ in range(3))
+
+    def change(text, share):
+        return " ".join(str(rng.randrange(2, 90)) if w.isdigit() and rng.random() < share else rng.choice(people) if w in people and rng.random() < share else w for w in text.split())
+
+    items = [(i, sentence(i)) for i in range(12)] + [(50, sentence(3)), (51, None), (52, "too short"), (53, ""), (3, sentence(3))]  # equal texts, a repeated row
+    rows = []
+    for i in range(80):
+        text = change(sentence(rng.randrange(14)), rng.choice((0, 0.2, 0.5, 1)))
+        words_ = text.split()
+        text = " ".join(words_[: rng.randrange(8, len(words_) + 1)])
+        rows.append((i, f"{prose(rng, rng.choice((0, 3, 30)))} {text} {prose(rng, 5)}", "a"))
+    rows += [(200, f"{prose(rng, 30_000, 60_000)} {sentence(2)} {prose(rng, 20_000, 60_000)}", "a"), rows[0], (None, sentence(1), "a"), (201, None, "a"), (202, "", "a")]
+    found = template_decontamination.contaminated(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string"))
+    got = {(r["doc_id"], r["item_id"]) for r in found.collect()}
+    assert got == {(d, i) for d, t, _ in rows for i, x in items if x and t and brute_templates(t, x)} and 10 < len(got) < 200
+
+
 def test_templates_judge_each_occurrence(spark):
     item = "A train leaves Paris at 9 and travels 120 km to meet Anna at noon while 3 boxes of 5 kg each wait for Anna near the old station"
     item += " and then a man called Peter walks 14 miles to the market of Lyon with 6 apples"
@@ -375,6 +475,26 @@ def test_warc(spark, tmp_path):
     assert warc_index.capture_history(pages.limit(0)).count() == 0
 
 
+def test_warc_merges_in_levels_and_other_readers_see_the_uri(spark, tmp_path):
+    import gzip
+    from email.parser import BytesParser
+
+    urls = ["http://www.a.org/x y", "http://b.org/é?q=%20", None, "", "http://c.org/p", "odd\r\nX-Page-Id: 7"]
+    rows = [(i, urls[i % 6], f"text {i % 50}") for i in range(400)] + [(7, urls[1], "text 7")]  # one row repeated
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(6)
+    out = warc_index.capture_history(pages, folder=f"file://{tmp_path}/w", ranges=3, run_size=9, fan_in=3).orderBy("range", "place").collect()
+    keys = [(r["url_key"], r["captured"], r["page_id"]) for r in out]
+    assert keys == sorted(keys) and Counter((r["page_id"], r["url"]) for r in out) == Counter(r[:2] for r in rows)
+    assert [r["page_id"] for r in out if r["record_type"] == "response"].count(7) == 2
+    seen = {}
+    for path in {r["archive"] for r in out}:
+        for record in re.split(rb"(?=WARC/1\.1\r\n)", gzip.open(f"{tmp_path}/w/{path}").read())[1:]:
+            head = BytesParser().parsebytes(record.split(b"\r\n", 1)[1])
+            assert head["WARC-Record-ID"].startswith("<urn:uuid:") and len(head.get_all("X-Page-Id")) == 1
+            seen[int(head["X-Page-Id"])] = head["WARC-Target-URI"]
+    assert [seen[i] for i in range(6)] == ["http://www.a.org/x%20y", "http://b.org/%C3%A9?q=%20", None, None, "http://c.org/p", "odd%0D%0AX-Page-Id:%207"]
+
+
 def test_loser_tree():
     rng = random.Random(1)
     for n in range(9):
