@@ -64,13 +64,25 @@ def display_normalized(texts: pd.Series) -> pd.Series:
 
 
 
+@F.pandas_udf(T.StringType())
+def case_folded(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else t.casefold())
+
+
+def _by_script(df: DataFrame, text: str, out: str, plain: Column, other: Column) -> DataFrame:
+    """Add ``out``: ``plain`` where the text is null or ASCII, else ``other``, which may be a Python UDF."""
+    ascii_only = F.coalesce(is_ascii(F.col(text)), F.lit(True))
+    return df.where(ascii_only).withColumn(out, plain).unionByName(df.where(~ascii_only).withColumn(out, other))
+
+
+def with_folded(df: DataFrame, text: str, out: str) -> DataFrame:
+    """Add ``out``, the case-folded column ``text`` (null stays null)."""
+    return _by_script(df, text, out, F.lower(F.col(text)), case_folded(F.col(text)))
 
 
 def with_normalized(df: DataFrame, text: str, out: str = "norm") -> DataFrame:
     """Add ``out``, the canonical form of the column ``text``."""
-    plain = df.where(F.col(text).isNull() | is_ascii(F.col(text))).withColumn(out, normalize_ascii(F.col(text)))
-    other = df.where(F.col(text).isNotNull() & ~is_ascii(F.col(text))).withColumn(out, normalize_unicode(F.col(text)))
-    return plain.unionByName(other)
+    return _by_script(df, text, out, normalize_ascii(F.col(text)), normalize_unicode(F.col(text)))
 
 
 def is_abbreviation(norm: Column) -> Column:
@@ -80,7 +92,7 @@ def is_abbreviation(norm: Column) -> Column:
 def abbreviation_parts(norm: Column) -> tuple[Column, Column]:
     """(initial, epithet) of a canonical abbreviation, else nulls."""
     yes = is_abbreviation(norm)
-    return F.when(yes, F.substring(norm, 1, 1)), F.when(yes, F.substring(norm, 4, 1 << 20))
+    return F.when(yes, F.substring(norm, 1, 1)), F.when(yes, F.substr(norm, F.lit(4)))
 
 
 def filled(value: Column) -> Column:
@@ -92,9 +104,14 @@ def canonical_name() -> Column:
     return F.coalesce(filled(F.col("standard_name_cn")), filled(F.col("scientific_name")), F.col("entity_id"))
 
 
+def first_token(name: Column) -> Column:
+    """First token as it is; empty if there is none."""
+    return F.coalesce(F.get(F.split(_strip_space(F.coalesce(name, F.lit(""))), rf"(?U){SPACE}+"), F.lit(0)), F.lit(""))
+
+
 def genus(name: Column) -> Column:
-    """First token in lower case; empty if there is none."""
-    return F.coalesce(F.lower(F.get(F.split(_strip_space(F.coalesce(name, F.lit(""))), rf"(?U){SPACE}+"), F.lit(0))), F.lit(""))
+    """First token in lower case (``with_folded`` of ``first_token`` folds other scripts too); empty if there is none."""
+    return F.lower(first_token(name))
 
 
 def _strip_space(text: Column) -> Column:
@@ -104,7 +121,7 @@ def _strip_space(text: Column) -> Column:
 def abbreviated_aliases(name: Column) -> Column:
     """``G. rest`` for a name of two tokens or more, as an array."""
     parts = F.filter(F.split(name, rf"(?U){SPACE}+"), lambda p: p != "")
-    short = F.concat(F.substring(F.get(parts, F.lit(0)), 1, 1), F.lit(". "), F.array_join(F.slice(parts, 2, 10_000), " "))
+    short = F.concat(F.substring(F.get(parts, F.lit(0)), 1, 1), F.lit(". "), F.array_join(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), " "))
     return F.when(F.size(parts) >= 2, F.array(short)).otherwise(F.array().cast("array<string>"))
 
 
@@ -114,7 +131,7 @@ def rank_of(name: Column) -> Column:
 
 def numeric_suffix(entity_id: Column, prefix: str = "TAXON:") -> Column:
     """The number of ids made of ``prefix`` and digits, else null."""
-    return F.when(entity_id.rlike(f"^{prefix}[0-9]+$"), F.expr("try_cast(1 as bigint)") * F.substring(entity_id, len(prefix) + 1, 30).try_cast("bigint"))
+    return F.when(entity_id.rlike(f"^{prefix}[0-9]+$"), F.substr(entity_id, F.lit(len(prefix) + 1)).try_cast("bigint"))
 
 
 def int_parameter(value: Column, default: int) -> Column:

@@ -2,8 +2,7 @@
 
 ``part`` plays the catalogue: each part is an entity whose scientific name is its two-word
 name (shared by many parts, so lookups are ambiguous), with a unique standard name,
-and an alias and, for some, a former name.  ``distinct`` is that catalogue with the first part of each name only;
-queries on it have a sibling ``..._all`` over all parts (``cascade_results`` itself runs over all).
+and an alias and, for some, a former name.  Every query asks for and searches all parts.
 """
 
 from __future__ import annotations
@@ -45,20 +44,10 @@ def catalog(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def distinct_catalog(spark: SparkSession, d: str) -> DataFrame:
-    """The first entity of each scientific name."""
-    rows = catalog(spark, d)
-    return rows.groupBy("scientific_name").agg(F.min_by(F.struct(*[c for c in rows.columns if c != "scientific_name"]), "ent_ord").alias("e")).select("e.*", "scientific_name")
-
-
 ENT = """ent AS (SELECT p_partkey::BIGINT AS ent_ord, 'TAXON:' || printf('%04d', p_partkey + 1) AS entity_id, p_brand || ' ' || p_partkey AS standard_name_cn,
   p_name AS scientific_name, p_type AS taxon_rank, [upper(p_name) || ' ' || p_brand] AS aliases, CASE WHEN p_partkey % 3 = 0 THEN ['former ' || p_partkey] ELSE [] END AS former_names FROM part)"""
-ONE = ENT + """, one AS (SELECT * FROM ent QUALIFY row_number() OVER (PARTITION BY scientific_name ORDER BY ent_ord) = 1)"""
-
-
-def whole(sql: str) -> str:
-    """SQL over the first entity of each name, with all entities in its place."""
-    return sql.replace(" QUALIFY row_number() OVER (PARTITION BY scientific_name ORDER BY ent_ord) = 1)", ")")
+#: ``one``: the catalogue that is asked, here all of it.
+ONE = ENT + ", one AS (SELECT * FROM ent)"
 
 
 def names_sql(source: str) -> str:
@@ -67,7 +56,7 @@ def names_sql(source: str) -> str:
   (SELECT ent_ord, entity_id, [standard_name_cn, scientific_name] || aliases || former_names AS l FROM {source}), UNNEST(generate_series(1, len(l))) AS u(i))"""
 
 
-ALL_NAMES, ONE_NAMES = f"WITH {ENT}, {names_sql('ent')}", f"WITH {ONE}, {names_sql('one')}"
+ALL_NAMES = f"WITH {ENT}, {names_sql('ent')}"
 
 
 @query(r"""SELECT doc_id, lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\b([A-Za-z])[\s\x0b\x1c-\x1f]*\.[\s\x0b\x1c-\x1f]*([A-Za-z][A-Za-z-]*)\b', '\1. \2', 'g'),
@@ -127,11 +116,6 @@ def _ambiguous(spark, d, entities: DataFrame) -> DataFrame:
 
 @query(AMBIGUOUS)
 def alias_ambiguous(spark, d):
-    return _ambiguous(spark, d, distinct_catalog(spark, d))
-
-
-@query(whole(AMBIGUOUS))
-def alias_ambiguous_all(spark, d):
     return _ambiguous(spark, d, catalog(spark, d))
 
 
@@ -151,23 +135,23 @@ def _expanded(queried: DataFrame, entities: DataFrame) -> DataFrame:
     return cascade.abbreviation_hits(asked, names.abbreviation_lookup(entities))
 
 
-@query(f"{EXPANDED} SELECT qid, entity_id, 'expanded_exact' AS source FROM hits WHERE n = 1")
-def latin_expand_single(spark, d):
-    return _expanded(distinct_catalog(spark, d), distinct_catalog(spark, d)).where("source = 'expanded_exact'").select("qid", "entity_id", "source")
+def _some_unique(entities: DataFrame) -> DataFrame:
+    """The catalogue with an epithet of its own, spelled from its number, for every third part."""
+    own = F.concat(F.substring_index("scientific_name", " ", 1), F.lit(" "), F.translate(F.col("ent_ord").cast("string"), "0123456789", "abcdefghij"))
+    return entities.withColumn("scientific_name", F.when(F.col("ent_ord") % 3 == 0, own).otherwise(F.col("scientific_name")))
 
 
-@query(f"{whole(EXPANDED)} SELECT qid, entity_id, 'expanded_exact' AS source FROM hits WHERE n = 1")
-def latin_expand_single_all(spark, d):
-    return _expanded(catalog(spark, d), catalog(spark, d)).where("source = 'expanded_exact'").select("qid", "entity_id", "source")
+UNIQUE = "SELECT * REPLACE (CASE WHEN ent_ord % 3 = 0 THEN split_part(scientific_name, ' ', 1) || ' ' || translate(ent_ord::VARCHAR, '0123456789', 'abcdefghij') ELSE scientific_name END AS scientific_name) FROM ent"
 
 
-@query(f"{EXPANDED.replace('ent_ord FROM one)', 'ent_ord FROM ent)')} SELECT qid, entity_id, 'ambiguous_abbreviation' AS source FROM hits WHERE n > 1")
-def latin_expand_ambiguous(spark, d):
-    return _expanded(distinct_catalog(spark, d), catalog(spark, d)).where("source = 'ambiguous_abbreviation'").select("qid", "entity_id", "source")
+@query(f"{EXPANDED.replace('one AS (SELECT * FROM ent)', f'one AS ({UNIQUE})')} SELECT qid, entity_id, 'expanded_exact' AS source FROM hits WHERE n = 1")
+def latin_expand_single(spark, d):
+    entities = _some_unique(catalog(spark, d))
+    return _expanded(entities, entities).where("source = 'expanded_exact'").select("qid", "entity_id", "source")
 
 
-@query(f"{whole(EXPANDED)} SELECT qid, entity_id, 'ambiguous_abbreviation' AS source FROM hits WHERE n > 1")
-def latin_expand_ambiguous_all(spark, d):
+@query(f"{EXPANDED} SELECT qid, entity_id, 'ambiguous_abbreviation' AS source FROM hits WHERE n > 1")
+def latin_expand_ambiguous(spark, d):
     return _expanded(catalog(spark, d), catalog(spark, d)).where("source = 'ambiguous_abbreviation'").select("qid", "entity_id", "source")
 
 
@@ -198,14 +182,6 @@ COSINE = f"""WITH {ONE}, {FEATURES.format('one', 'scientific_name')}, w AS (SELE
 
 @query(COSINE)
 def ngram_sparse_cosine_topk(spark, d):
-    w = features.unit_weights(_frequencies(distinct_catalog(spark, d), "scientific_name"), "id")
-    found = features.sparse_cosine(w.withColumnRenamed("id", "qid"), w.withColumnRenamed("id", "cid")).where("qid <> cid").withColumn("score", F.round("score", 6))
-    top = vector.top_k(found.withColumnsRenamed({"cid": "first_ord"}).withColumn("entity_id", F.col("first_ord")), 5, 0.82)
-    return top.select("qid", F.col("entity_id").alias("cid"), "score")
-
-
-@query(whole(COSINE))
-def ngram_sparse_cosine_topk_all(spark, d):
     """Equal names have equal scores, so names are compared once; of each, its six smallest ids can be among five others."""
     named = with_normalized(catalog(spark, d).select("entity_id", "scientific_name"), "scientific_name").select("entity_id", "norm")
     w = features.unit_weights(features.term_frequencies(named.select(F.col("norm").alias("id"), "norm").distinct(), "id", "norm"), "id")
@@ -293,18 +269,13 @@ def cascade_results(spark, d):
     return _cascade(catalog(spark, d))
 
 
-STAGES = f"""{EXPANDED}, n AS (SELECT count(*) AS n FROM one) SELECT 'exact' AS source, n AS n_rows FROM n UNION ALL SELECT 'embedding', least(5, n) * n FROM n
-  UNION ALL SELECT CASE WHEN n = 1 THEN 'expanded_exact' ELSE 'ambiguous_abbreviation' END, count(*) FROM hits GROUP BY 1"""
 EXACT = "SELECT CASE WHEN n = 1 THEN 'exact' ELSE 'ambiguous_alias' END AS source, sum(n * n)::BIGINT AS n_rows FROM (SELECT count(*) AS n FROM one GROUP BY scientific_name) GROUP BY 1"
+STAGES = f"""{EXPANDED}, n AS (SELECT count(*) AS n FROM one) {EXACT} UNION ALL SELECT 'embedding', least(5, n) * n FROM n
+  UNION ALL SELECT CASE WHEN n = 1 THEN 'expanded_exact' ELSE 'ambiguous_abbreviation' END, count(*) FROM hits GROUP BY 1"""
 
 
 @query(STAGES)
 def cascade_stage_counts(spark, d):
-    return _cascade(distinct_catalog(spark, d)).groupBy("source").agg(F.count(F.lit(1)).alias("n_rows"))
-
-
-@query(whole(STAGES).replace("SELECT 'exact' AS source, n AS n_rows FROM n", EXACT))
-def cascade_stage_counts_all(spark, d):
     return _cascade(catalog(spark, d)).groupBy("source").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
@@ -314,18 +285,18 @@ def html_list_items(spark, d):
     return _table(spark, d, "pages").select("page_id", F.posexplode(html.list_items(F.col("html"))).alias("pos", "item")).withColumn("pos", F.col("pos").cast("long"))
 
 
-@query()
+_HOST = "regexp_extract(url, '^(https?://[^/?#]+)', 1)"
+
+
+@query(f"""SELECT page_id, i - 1 AS link_ord, host || h[i] AS href, trim(regexp_replace(replace(replace(t[i], '&amp;', '&'), '&amp;', '&'), '\\s+', ' ', 'g')) AS text
+  FROM (SELECT page_id, {_HOST} AS host, regexp_extract_all(html, '<a href="(/[^"]*)">([^<]*)</a>', 1) AS h, regexp_extract_all(html, '<a href="(/[^"]*)">([^<]*)</a>', 2) AS t FROM pages), UNNEST(generate_series(1, len(h))) AS u(i)""")
 def html_links(spark, d):
     return html.links(_table(spark, d, "pages"))
 
 
-@query(r"""SELECT DISTINCT regexp_extract(url, '^(https?://[^/?#]+)', 1) || href AS url FROM (SELECT url, unnest(regexp_extract_all(html, '<a href="(/[^"]*)"', 1)) AS href FROM pages) WHERE regexp_matches(href, '^/t[^?#]*$')
-  UNION SELECT 'http://start.example/'""")
+@query(f"""SELECT DISTINCT {_HOST} || href AS url FROM (SELECT url, unnest(regexp_extract_all(html, '<a href="(/[^"]*)"', 1)) AS href FROM pages) WHERE regexp_matches(href, '^[^?#%]*e$') UNION SELECT 'http://start.example/'""")
 def html_link_discovery_distinct(spark, d):
-    pages = _table(spark, d, "pages")
-    hrefs = pages.select(F.regexp_extract("url", "^(https?://[^/?#]+)", 1).alias("host"), F.explode(F.regexp_extract_all("html", F.lit('<a href="(/[^"]*)"'), F.lit(1))).alias("path"))
-    found = hrefs.where(F.col("path").rlike(r"^/t[^?#]*$")).select(F.concat("host", "path").alias("href"))
-    return found.select(F.col("href").alias("url")).union(spark.createDataFrame([("http://start.example/",)], "url string")).distinct()
+    return html.category_urls(html.links(_table(spark, d, "pages")), "http://start.example/", path_end="e", query_part="")
 
 
 @query(r"""SELECT doc_id, regexp_extract(text, '\b([A-Z][a-z]+(?:\s+[a-z][a-z.-]+)+(?:\s+subsp\.\s+[a-z-]+)?)\b', 1) AS latin FROM documents WHERE octet_length(encode(text)) = length(text)""")
@@ -388,11 +359,6 @@ def _entity_split(entities: DataFrame) -> DataFrame:
 
 @query(SPLITS)
 def entity_split(spark, d):
-    return _entity_split(distinct_catalog(spark, d))
-
-
-@query(whole(SPLITS))
-def entity_split_all(spark, d):
     return _entity_split(catalog(spark, d))
 
 
@@ -413,11 +379,6 @@ def _alias_holdouts(entities: DataFrame) -> DataFrame:
 
 @query(HELD)
 def alias_holdouts(spark, d):
-    return _alias_holdouts(distinct_catalog(spark, d))
-
-
-@query(whole(HELD))
-def alias_holdouts_all(spark, d):
     return _alias_holdouts(catalog(spark, d))
 
 
@@ -436,11 +397,6 @@ def _hard_negatives(entities: DataFrame) -> DataFrame:
 
 @query(HARD)
 def hard_negatives(spark, d):
-    return _hard_negatives(distinct_catalog(spark, d))
-
-
-@query(whole(HARD))
-def hard_negatives_all(spark, d):
     return _hard_negatives(catalog(spark, d))
 
 
@@ -455,11 +411,6 @@ def _training_triplets(entities: DataFrame) -> DataFrame:
 
 @query(TRIPLETS)
 def training_triplets(spark, d):
-    return _training_triplets(distinct_catalog(spark, d))
-
-
-@query(whole(TRIPLETS))
-def training_triplets_all(spark, d):
     return _training_triplets(catalog(spark, d))
 
 
@@ -474,11 +425,6 @@ def _eval_rows(entities: DataFrame) -> DataFrame:
 
 @query(EVALUATED)
 def eval_rows(spark, d):
-    return _eval_rows(distinct_catalog(spark, d))
-
-
-@query(whole(EVALUATED))
-def eval_rows_all(spark, d):
     return _eval_rows(catalog(spark, d))
 
 
@@ -486,15 +432,9 @@ def _recall(entities: DataFrame) -> DataFrame:
     return cascade.recall_summary(cascade.recall_report(entities, cascade.build_index(entities, "char-ngram-sparse")))
 
 
-@query(f"""{ONE_NAMES} SELECT count(*) AS total_cases, count(*) AS top1_hits, 1.0::DOUBLE AS top1_accuracy, count(*) FILTER (k = 'alias') AS alias_cases, count(*) FILTER (k = 'former_name') AS former_name_cases
-  FROM (SELECT unnest(aliases) AS x, 'alias' AS k FROM one UNION ALL SELECT unnest(former_names), 'former_name' FROM one)""")
-def recall_report_summary(spark, d):
-    return _recall(distinct_catalog(spark, d))
-
-
 @query(f"""{ALL_NAMES}, f AS (SELECT norm, min(ent_ord) AS top FROM nm GROUP BY norm), x AS (SELECT ent_ord, unnest(aliases) AS x, 'alias' AS k FROM ent UNION ALL SELECT ent_ord, unnest(former_names), 'former_name' FROM ent)
   SELECT count(*) AS total_cases, count(*) FILTER (top = ent_ord) AS top1_hits, round(count(*) FILTER (top = ent_ord) / count(*), 4) AS top1_accuracy, count(*) FILTER (k = 'alias') AS alias_cases, count(*) FILTER (k = 'former_name') AS former_name_cases FROM x JOIN f ON lower(x) = norm""")
-def recall_report_summary_all(spark, d):
+def recall_report_summary(spark, d):
     return _recall(catalog(spark, d))
 
 
@@ -503,8 +443,19 @@ def index_status(spark, d):
     return cascade.index_status(cascade.build_index(catalog(spark, d), "char-ngram-sparse"))
 
 
-@query()
-def html_columnar_candidates(spark, d):
-    return html.page_candidates(_table(spark, d, "pages"))
+def _listing(spark: SparkSession, d: str) -> DataFrame:
+    """Pages of four parts each: table rows on even pages, whole columns one after another on odd ones."""
+    key, items = F.col("p_partkey").cast("long"), F.col("items")
+    latin = F.concat(F.upper(F.substring("p_name", 1, 1)), F.substr("p_name", F.lit(2)))
+    rows = _table(spark, d, "part").select(key.alias("key"), F.expr("p_partkey div 4").cast("long").alias("page_id"), F.concat(F.lit("酵母"), key.cast("string")).alias("cn"), latin.alias("latin"))
+    pages = rows.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("key", "cn", "latin"))).alias("items"))
+    cells = F.transform(items, lambda x: F.concat(F.lit("<tr><td>"), x["cn"], F.lit("</td><td>"), x["latin"], F.lit('</td><td><a href="/cicc/detail/?cid='), x["key"].cast("string"), F.lit('">查看详情</a></td></tr>')))
+    columns = F.concat(F.array(*map(F.lit, html.HEADERS)), F.transform(items, lambda x, i: (i + 1).cast("string")), F.transform(items, lambda x: F.concat(F.lit("CICC "), x["key"].cast("string"))), F.transform(items, lambda x: x["cn"]), F.transform(items, lambda x: x["latin"]))
+    listed = F.transform(columns, lambda x: F.concat(F.lit("<li>"), x, F.lit("</li>")))
+    return pages.select("page_id", F.concat(F.lit("http://list.example/"), F.col("page_id").cast("string")).alias("url"), F.array_join(F.when(F.col("page_id") % 2 == 0, cells).otherwise(listed), "").alias("html"))
 
 
+@query("""SELECT p_partkey // 4 AS page_id, 'http://list.example/' || p_partkey // 4 AS url, (row_number() OVER (PARTITION BY p_partkey // 4 ORDER BY p_partkey) - 1)::BIGINT AS row_ord, '酵母' || p_partkey AS cn, upper(p_name[1]) || substr(p_name, 2) AS latin,
+  CASE WHEN p_partkey // 4 % 2 = 0 THEN p_partkey::VARCHAR END AS cid, CASE WHEN p_partkey // 4 % 2 = 1 THEN 'CICC ' || p_partkey END AS strain FROM part""")
+def html_page_candidates(spark, d):
+    return html.page_candidates(_listing(spark, d)).withColumn("row_ord", F.col("row_ord").cast("long"))
