@@ -15,7 +15,8 @@ import numpy as np
 
 _BASE = np.uint64(0x9E3779B97F4A7C13)
 _BASE_INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_CHUNK = 1 << 20
+#: Bytes, or hashes, that are summed at a time; the tables of powers are of this length.
+_CHUNK = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
