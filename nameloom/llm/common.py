@@ -71,6 +71,20 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of an Arrow batch on its way to a Python worker, unless the session has a limit of its own.
+ARROW_BYTES = "16m"
+
+
+def limit_batches(spark: SparkSession) -> None:
+    """Let Arrow batches of this session hold about ``ARROW_BYTES``, if it sets no limit itself.
+
+    A batch lies in the JVM and in the worker at once, for each running task, in buffers of up to twice its size.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, ARROW_BYTES)
+
+
 def packed(docs: DataFrame, *names: str | Column) -> DataFrame:
     """The columns ``names`` and the whole row as ``_doc``, so that no other column can clash with a working name."""
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), *names)

@@ -47,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nameloom.llm.common import by_ids, connected_components, materialise
+from nameloom.llm.common import by_ids, connected_components, limit_batches, materialise
 
 #: Entries of one fingerprint in one batch beyond which only their number is sent.
 DENSE = 4
@@ -57,6 +57,8 @@ SPARE_BITS = 14
 LIST_SLICE = 2_000
 #: Shingles that one counting task takes on average (documents have about one for 5 bytes).
 BUCKET = 1_000_000
+#: Characters of text, about, whose words are hashed at a time.
+HASHED = 1 << 20
 #: Rounds in which entries apart from their list's main component are compared with one of its members.
 NEAR_ROUNDS = 1
 #: Rounds in which each document of the pairs left is compared with two of its partners, before the rest is.
@@ -74,15 +76,18 @@ def shingle_sets(texts: list, n: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text, A-Z folded to lower case."""
     from nameloom.llm.wordhash import hash_words, mix, window_hashes
 
-    w = hash_words(texts, fold_ascii=True)
+    piece = np.cumsum([len(t or "") for t in texts], dtype=np.int64) // HASHED
+    cuts = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), len(texts)]
     out = []
-    for i in range(len(w)):
-        h = w.of(i)
-        if 0 < len(h) < n:
-            total = window_hashes(h, len(h)) + np.uint64(len(h))
-            out.append(mix(total))
-        else:
-            out.append(np.unique(window_hashes(h, n)))
+    for lo, hi in zip(cuts, cuts[1:]):
+        w = hash_words(texts[lo:hi], fold_ascii=True)
+        for i in range(len(w)):
+            h = w.of(i)
+            if 0 < len(h) < n:
+                total = window_hashes(h, len(h)) + np.uint64(len(h))
+                out.append(mix(total))
+            else:
+                out.append(np.unique(window_hashes(h, n)))
     return out
 
 
@@ -129,13 +134,16 @@ def _send(n: int, buckets: int, bits: int):
         for batch in batches:
             docs = batch.column("doc").to_pylist()
             for lo, hi, texts in text_pieces(batch.column("text"), 4 << 20):
-                full = shingle_sets(texts, n)
-                sets = [np.unique(s >> np.uint64(64 - bits)) for s in full]
-                sizes = np.array([len(s) for s in full], dtype=np.int64)
+                sets = shingle_sets(texts, n)
+                sizes = np.array([len(s) for s in sets], dtype=np.int64)
+                sets = [np.unique(s >> np.uint64(64 - bits)) for s in sets]
+                own = np.array([len(s) for s in sets], dtype=np.int64)
                 fps = np.concatenate([*sets, np.empty(0, dtype=np.uint64)])
-                place = np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])
+                place = np.repeat(np.arange(len(sets), dtype=np.int32), own)
+                del sets, texts
                 order = np.argsort(fps, kind="stable")
                 fps, place = fps[order], place[order]
+                del order
                 starts = np.flatnonzero(np.diff(fps, prepend=fps[:1] ^ np.uint64(1))) if len(fps) else np.empty(0, dtype=np.int64)
                 counts = np.diff(np.append(starts, len(fps)))
                 dense = np.repeat(counts > DENSE, counts)
@@ -143,7 +151,6 @@ def _send(n: int, buckets: int, bits: int):
                 out_mark = np.concatenate([place[~dense], -counts[counts > DENSE].astype(np.int32)])
                 order = np.argsort(out_fps, kind="stable")
                 out_fps, out_mark = out_fps[order], out_mark[order]
-                own = np.array([len(s) for s in sets], dtype=np.int64)
                 out = [_batch_row(hash(batch_no) % buckets, batch_no, docs="\n".join(docs[lo:hi]).encode(), sizes=np.stack([sizes, own]).tobytes(), fps=fps[dense], marks=place[dense])]
                 cuts = np.searchsorted(out_fps, np.array([(i << bits) // buckets for i in range(1, buckets)], dtype=np.uint64))
                 for b, (f, m) in enumerate(zip(np.split(out_fps, cuts), np.split(out_mark, cuts))):
@@ -151,7 +158,7 @@ def _send(n: int, buckets: int, bits: int):
                         out.append(_batch_row(b, batch_no, fps=f, marks=m))
                 yield from _table(out).to_batches()
                 batch_no += 1
-        release()
+            release()
 
     return rows
 
@@ -182,6 +189,7 @@ def _count(table: pa.Table) -> pa.Table:
 
 def _prefixes(percent: int):
     """Of one batch: each document's size and the shared part of its prefix in the global order."""
+    from nameloom.llm.wordhash import release
 
     def rows(table: pa.Table) -> pa.Table:
         got = table.to_pylist()
@@ -212,6 +220,9 @@ def _prefixes(percent: int):
             keep = prefix_length(sizes, percent) - private  # entries of frequency one come first
             for i in np.flatnonzero((keep > 0) & (shared > 0)).tolist():
                 tokens[i] = fps[bounds[i] : min(bounds[i] + keep[i], bounds[i + 1])].astype(np.int64).tolist()
+            del fps, place, df, order
+        del got, dense_fps, dense_place, all_fps, all_place, all_df
+        release()
         return pa.table({"doc": docs, "size": pa.array(sizes, pa.int64()), "private": pa.array(private, pa.int64()), "spare": pa.array(sizes - own, pa.int64()), "tokens": pa.array(tokens, pa.list_(pa.int64()))})
 
     return rows
@@ -364,6 +375,7 @@ def candidate_links(sized: DataFrame, sets: DataFrame, percent: int) -> DataFram
 
 def components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, class (md5 of the text) of every row of ``docs``."""
+    limit_batches(docs.sparkSession)
     texts = docs.select("doc_id", "text").withColumn("row", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
     rows = texts.select("doc_id", "row", F.md5(F.coalesce("text", F.lit(""))).alias("doc"), F.octet_length("text").alias("bytes"))
     rows = materialise(rows, "join-rows")

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nameloom.llm.common import new_folder
+from nameloom.llm.common import limit_batches, new_folder
 
 MASK = 0xA282EAD8
 HEAD, PAYLOAD, ENTRY = struct.Struct("<QI"), struct.Struct("<qB"), struct.Struct("<QQ")
@@ -73,6 +73,9 @@ class Encoder:
     DIGITS = "0-9²³¹¼-¾"
     WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{DIGITS}]|[^\t\n\r {LETTERS}{DIGITS}]+")
 
+    #: Words that are encoded in one call, so that the tokenizer's own record of them stays small.
+    LEARN = 10_000
+
     def __init__(self, path: str, table_size: int = 400_000):
         from tokenizers import Tokenizer
 
@@ -120,8 +123,9 @@ class Encoder:
                 missing.update(dict.fromkeys(split[i]))
             else:
                 out[i] = self._whole(text)
-        if missing := [w for w in missing if w not in self.table]:
-            self._learn(missing)
+        missing = [w for w in missing if w not in self.table]
+        for i in range(0, len(missing), self.LEARN):
+            self._learn(missing[i : i + self.LEARN])
         for i, found in split.items():
             out[i] = b"".join(map(self.table.__getitem__, found))
         return out
@@ -143,7 +147,7 @@ def record(doc_id: int | None, ids: bytes, wide: bool) -> bytes:
 
 
 def _write(folder: str, tokenizer_path: str, end_id: int):
-    from nameloom.llm.wordhash import text_pieces
+    from nameloom.llm.wordhash import release, text_pieces
 
     def rows(batches):
         from pyspark import TaskContext
@@ -172,10 +176,15 @@ def _write(folder: str, tokenizer_path: str, end_id: int):
                     data, index = (store.open_output_stream(f"{name}.{kind}.{attempt}") for kind in ("tokens", "index"))
                 data.write(b"".join(out))
                 index.write(b"".join(entries))
+            release()
         if data is not None:
             data.close(), index.close()
             for kind in ("index", "tokens"):
                 store.move(f"{name}.{kind}.{attempt}", f"{name}.{kind}")
+        del enc  # an idle worker would keep the tokenizer and its table beside other stages' memory
+        encoder.cache_clear()
+        release()
+        if data is not None:
             yield pa.record_batch({"shard": pa.array([shard], pa.int64()), "path": [name], "records": pa.array([records], pa.int64()), "ids": pa.array([ids], pa.int64()), "bytes": pa.array([size], pa.int64())})
 
     return rows
@@ -223,6 +232,7 @@ def read_record(store, path: str, number: int):
 
 def write_records(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str) -> list:
     """Write the texts of ``docs`` in the order of doc_id; returns one manifest row per file, in order."""
+    limit_batches(docs.sparkSession)
     order = [F.col("doc_id").asc_nulls_first(), F.col("_t"), F.col("text")]
     rows = docs.select("doc_id", "text").withColumn("_t", F.xxhash64("text"))
     rows = rows.repartitionByRange(*order[:2]).sortWithinPartitions(*order).select("doc_id", "text")

@@ -114,18 +114,19 @@ def hash_words(texts, fold_ascii: bool = False) -> Words:
 
 
 def text_pieces(column, limit: int = 1 << 20):
-    """(lo, hi, texts) of an Arrow string column in pieces of about ``limit`` bytes, one text at least.
+    """(lo, hi, texts) of an Arrow string column in even pieces of about ``limit`` bytes, one text at least.
 
     Only one piece exists as Python strings at a time.
     """
     import pyarrow.compute as pc
 
     sizes = np.cumsum(np.nan_to_num(pc.binary_length(column).to_numpy(zero_copy_only=False).astype(float)))
-    lo = 0
-    while lo < len(column):
-        hi = max(lo + 1, int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + limit, side="right")))
+    total = sizes[-1] if len(sizes) else 0
+    parts = max(1, round(total / limit))
+    inner = np.searchsorted(sizes, total * np.arange(1, parts) / parts) + 1
+    cuts = np.unique(np.concatenate([[0], inner, [len(column)]])).astype(int).tolist()
+    for lo, hi in zip(cuts, cuts[1:]):
         yield lo, hi, column.slice(lo, hi - lo).to_pylist()
-        lo = hi
 
 
 def release() -> None:
