@@ -25,7 +25,7 @@ def asked(spark, text):
     return spark.createDataFrame([(q, text, text) for q in range(40)], "qid long, query string, norm string")
 
 
-@pytest.mark.parametrize("kind", ["alias"])
+@pytest.mark.parametrize("kind", ["alias", "abbreviation"])
 def test_hits_of_one_text_are_dealt_out(shuffled, kind):
     table = {"alias": names.alias_dictionary, "abbreviation": names.abbreviation_lookup}[kind](same_name(shuffled, N))
     hits = {"alias": cascade.alias_hits, "abbreviation": cascade.abbreviation_hits}[kind](asked(shuffled, {"alias": "foo bar", "abbreviation": "f. bar"}[kind]), table)
