@@ -91,12 +91,27 @@ class Encoder:
         if self.wordwise:
             self.ends = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
             self.ends[[i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t.endswith(suffix)]] = True
+            self.model = self.tokenizer.model
+            self.direct = [p["type"] for p in spec["pre_tokenizer"]["pretokenizers"][1:]] in ([], ["ByteLevel"])
+            raw, width = np.arange(len(self.ends), dtype=self.kind).tobytes(), self.kind.itemsize
+            self.one = [raw[at : at + width] for at in range(0, len(raw), width)]
         self.special = re.compile("|".join(re.escape(t["content"]) for t in spec.get("added_tokens", [])) or "(?!)")
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.kind).tobytes()
 
     def _learn(self, missing: list[str]) -> None:
+        """Enter words into the table.  Normaliser and pre-tokenizer leave a word of ASCII letters, or one digit, as it is, so it goes to the model itself."""
+        if self.direct:
+            tokenize, one, others = self.model.tokenize, self.one, []
+            for word in missing:
+                if word.isascii() and word.isalnum():
+                    self.table[word] = b"".join([one[t.id] for t in tokenize(word)])
+                else:
+                    others.append(word)
+            missing = others
+        if not missing:
+            return
         ids = np.array(self.tokenizer.encode(" ".join(missing), add_special_tokens=False).ids, dtype=self.kind)
         cuts = np.flatnonzero(self.ends[ids]) + 1
         if len(cuts) == len(missing):
@@ -114,13 +129,13 @@ class Encoder:
         if len(self.table) > self.table_size:
             self.table.clear()
         out: list[bytes] = [b""] * len(texts)
-        split, missing = {}, {}
+        split, missing = {}, set()
         for i, text in enumerate(texts):
             if not text:
                 continue
             if self.PLAIN.fullmatch(text) and not self.special.search(text):
                 split[i] = self.WORD.findall(text.lower())
-                missing.update(dict.fromkeys(split[i]))
+                missing.update(split[i])
             else:
                 out[i] = self._whole(text)
         missing = [w for w in missing if w not in self.table]
