@@ -60,3 +60,9 @@ def test_equal_names_rank_by_order(spark):
         for r in sorted(cascade.retrieve(queries, cascade.build_index(df, backend)).collect(), key=lambda r: r["pos"]):
             found.setdefault(r["qid"], []).append(r["entity_id"])
         assert found == {f"{name}x": [r[0] for r in rows if r[2] == name][:5] for name in {r[2] for r in rows}}
+
+
+def test_cascade_results_are_dealt_out(shuffled, tmp_path):
+    found = QUERIES["cascade_results"](shuffled, parts(shuffled, tmp_path, 100)).select("qid", F.spark_partition_id().alias("task"))
+    assert "_slice" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert found.count() == 2 * 100 * 100 + 5 * 100
